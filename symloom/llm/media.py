@@ -103,7 +103,7 @@ def lzw_encode(data: bytes) -> bytes:
         table[wc] = following
         following += 1
         w = singles[c]
-        if following == 511 or following == 1023 or following == 2047:
+        if following == 512 or following == 1024 or following == 2048:
             width += 1
         elif following == 4094:
             bits = bits << width | 256
@@ -119,7 +119,7 @@ def lzw_encode(data: bytes) -> bytes:
         bits = bits << width | table[w]
         n_bits += width
         following += 1
-        if following == 511 or following == 1023 or following == 2047:
+        if following == 512 or following == 1024 or following == 2048:
             width += 1
     bits = bits << width | 257
     n_bits += width
@@ -346,7 +346,7 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 #: How payloads are stored: a byte of their SHA-256 picks the packing, so equal texts are stored equally.
 #: (below this value of the byte, compression, predictor, tile side); LZW has a small share, being the slowest to write in Python.
-LAYOUTS = ((8, LZW, 1, 0), (16, LZW, 2, 64), (48, PACKBITS, 1, 0), (64, PACKBITS, 2, 64), (160, ADOBE_DEFLATE, 1, 0), (208, ADOBE_DEFLATE, 2, 64), (256, DEFLATE, 2, 0))
+LAYOUTS = ((4, LZW, 1, 0), (8, LZW, 2, 64), (48, PACKBITS, 1, 0), (64, PACKBITS, 2, 64), (160, ADOBE_DEFLATE, 1, 0), (208, ADOBE_DEFLATE, 2, 64), (256, DEFLATE, 2, 0))
 ROW = 64
 
 
