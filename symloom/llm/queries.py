@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, packing, tokens
+from . import exact_dedup, language, media, packing, privacy, tokens
 
 QUERIES = {
     "op2_media": media.op2_media,
     "op4_packing": packing.op4_packing,
+    "op5_pii": privacy.op5_pii,
+    "op6_language": language.op6_language,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": tokens.op9_bpe,
     "op10_token_counts": tokens.op10_token_counts,
