@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, packing, privacy, tokens
+from . import exact_dedup, language, media, ngram_join, packing, privacy, tokens
 
 QUERIES = {
     "op2_media": media.op2_media,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_packing": packing.op4_packing,
     "op5_pii": privacy.op5_pii,
     "op6_language": language.op6_language,
