@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, ngram_join, packing, privacy, tokens
+from . import exact_dedup, language, media, ngram_join, packing, privacy, quality, tokens
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_media": media.op2_media,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_packing": packing.op4_packing,
