@@ -233,6 +233,18 @@ def pack_shard(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _solver(names: list[str], round_: int, capacity: int):
+    """Packs one shard of a round."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([n for n in ("doc_id", "piece", "ids_crc32") if n in names], kind="stable")
+        placed = pack_shard(pdf["length"].tolist(), capacity)
+        base = (round_ << 56) + (int(pdf["shard"].iloc[0]) << 20)
+        return pdf[names].assign(sequence_id=[base + b for b, _, _ in placed], offset=[o for _, o, _ in placed], fill=[f for _, _, f in placed])
+
+    return solve
+
+
 def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, full: float = FULL) -> DataFrame:
     """``parts`` (with doc_id, piece, length) with sequence_id and offset."""
     names = [f.name for f in parts.schema]
@@ -242,14 +254,8 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, shard_size: int = SH
         n = left.count()
         shards = max(1, -(-n // shard_size))
 
-        def solve(pdf: pd.DataFrame, round_: int = round_) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"] if "ids_crc32" in pdf else ["doc_id", "piece"], kind="stable")
-            placed = pack_shard(pdf["length"].tolist(), capacity)
-            base = (round_ << 56) + (int(pdf["shard"].iloc[0]) << 20)
-            return pdf[names].assign(sequence_id=[base + b for b, _, _ in placed], offset=[o for _, o, _ in placed], fill=[f for _, _, f in placed])
-
         dealt = left.select(*names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(shards)).alias("shard"))
-        packed = dealt.groupBy("shard").applyInPandas(solve, schema)
+        packed = dealt.groupBy("shard").applyInPandas(_solver(names, round_, capacity), schema)
         if shards == 1:
             packed = packed.drop("fill")
             return packed if done is None else done.unionByName(packed)
