@@ -130,8 +130,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     return near.join(over, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.max("removed").alias("removed"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs``: doc_id, text, the spans of each kind, and ``term``: spans the method adds."""
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Every row of ``docs``: doc_id, text, the spans of each kind, and ``term``: spans the method adds.
+
+    ``carry``: also ``row``, a struct of the other columns, and ``original``, the text as it came (null kept).
+    """
     rows = with_base_spans(docs, id_col, text_col)
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     found = stash(rows.filter(some))
@@ -140,10 +143,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = found.select("doc_id", "key", *KINDS).distinct()
     spans = kept.alias("k").join(per_row.alias("t"), F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.key") == F.col("t.key")), "left").select("k.*", "t.term")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    all_rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    rest = [F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).alias("original")] if carry else []
+    all_rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), *rest)
     joined = all_rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.key") == F.col("s.key")), "left")
     empty = F.array().cast(SPAN)
-    return joined.select("d.doc_id", "d.text", *(F.coalesce(f"s.{k}", empty).alias(k) for k in KINDS), F.coalesce("s.term", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")).alias("term"))
+    return joined.select("d.doc_id", "d.text", *(["d.row", "d.original"] if carry else []), *(F.coalesce(f"s.{k}", empty).alias(k) for k in KINDS), F.coalesce("s.term", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")).alias("term"))
 
 
 def _listed(kind: str) -> Column:

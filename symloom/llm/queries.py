@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, ngram_join, packing, privacy, quality, tokens
+from . import exact_dedup, language, media, ngram_join, packing, privacy, quality, repeats, tokens
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": privacy.op5_pii,
     "op6_language": language.op6_language,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_repeats": repeats.op8_repeats,
     "op9_bpe": tokens.op9_bpe,
     "op10_token_counts": tokens.op10_token_counts,
 }
