@@ -109,13 +109,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return TextModel(langs, np.array([sums.get(k, np.zeros(SLOTS)) for k in langs], float))
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    weights = [F.exp(s - top) for s in scores]
-    total = functools.reduce(lambda a, b: a + b, weights)
-    return [w / total for w in weights]
-
-
 def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", declared_col: str | None = None, address_col: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, lang, probability, text_lang, declared, suffix, rejected) of every row.
 
@@ -124,7 +117,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     """
     short_batches(docs.sparkSession)
     langs = model.langs
-    names = [f"l{k}" for k in range(len(langs) + 1)]
+    names, share = [f"l{k}" for k in range(len(langs) + 1)], [f"p{k}" for k in range(len(langs))]
     text = F.col(text_col).cast("string")
     address = F.regexp_extract(F.lower(F.coalesce(F.col(address_col), F.lit(""))), r"^[a-z]+://([^/:?#]+)", 1) if address_col else F.lit("")
     host = address if address_col else F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
@@ -136,16 +129,16 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
             texts = texts_of(batch)
             parts = [model.score(p) for p in _pieces(texts)]
             s = np.concatenate(parts) if parts else np.zeros((0, len(names)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("declared"), batch.column("suffix"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(s[:, k], pa.float64()) for k in range(len(names)))], ["doc_id", "host", "declared", "suffix", "n_bytes", *names])
+            # What the text alone says, as shares of the languages; a text without bytes says nothing.
+            p = np.exp(TEMPER * (s[:, :-1] - s[:, :-1].max(axis=1, keepdims=True)))
+            p = p / p.sum(axis=1, keepdims=True) * np.array([len(t) > 0 for t in texts], float)[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("declared"), batch.column("suffix"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(s[:, k], pa.float64()) for k in range(len(names))), *(pa.array(p[:, k], pa.float64()) for k in range(len(langs)))], ["doc_id", "host", "declared", "suffix", "n_bytes", *names, *share])
 
-    schema = "doc_id long, host string, declared string, suffix string, n_bytes long, " + ", ".join(f"{n} double" for n in names)
-    scored = rows.mapInArrow(score, schema)
-    shares = _softmax([TEMPER * F.col(n) for n in names[:-1]])
-    scored = stash(scored.select("*", *(p.alias(f"p{k}") for k, p in enumerate(shares))))
-    share = [f"p{k}" for k in range(len(langs))]
+    schema = "doc_id long, host string, declared string, suffix string, n_bytes long, " + ", ".join(f"{n} double" for n in [*names, *share])
+    scored = stash(rows.mapInArrow(score, schema))
 
     # Grouped aggregation, then smoothing downwards: corpus, suffix, host.
-    sums = [F.sum(F.when(F.col("n_bytes") > 0, F.col(p)).otherwise(0.0)).alias(p) for p in share]
+    sums = [F.sum(p).alias(p) for p in share]
     hosts = stash(scored.groupBy("suffix", "host").agg(*sums))
     whole = hosts.agg(*(F.sum(p).alias(p) for p in share)).first()
     total = sum(v or 0.0 for v in whole)
@@ -157,11 +150,10 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     priors = broadcast_if_small(stash(priors), 16 * len(langs) + 64)
 
     known = F.col("n_bytes") > 0
-    own = [F.when(known, F.col(p)).otherwise(0.0) for p in share]
-    rest = functools.reduce(lambda a, b: a + b, [F.col(f"h{k}") - own[k] for k in range(len(langs))])
+    rest = functools.reduce(lambda a, b: a + b, [F.col(f"h{k}") - F.col(p) for k, p in enumerate(share)])
     evidence = []
     for k, lang in enumerate(langs):
-        prior = (F.greatest(F.col(f"h{k}") - own[k], F.lit(0.0)) + HOST_WEIGHT * F.col(f"s{k}")) / (F.greatest(rest, F.lit(0.0)) + HOST_WEIGHT)
+        prior = (F.greatest(F.col(f"h{k}") - F.col(share[k]), F.lit(0.0)) + HOST_WEIGHT * F.col(f"s{k}")) / (F.greatest(rest, F.lit(0.0)) + HOST_WEIGHT)
         suffix_of = [x for x, y in SUFFIX_LANGUAGE.items() if y == lang]
         told = F.col("declared").isin(langs)
         placed = F.col("suffix").isin(sorted(x for x, y in SUFFIX_LANGUAGE.items() if y in langs))
@@ -173,13 +165,14 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
             + F.log(prior)
         )
     evidence.append(TEMPER * F.col(names[-1]) + float(np.log(UND_PRIOR)))
-    fused = _softmax(evidence)
-    joined = scored.join(priors, ["suffix", "host"]).select("*", *(p.alias(f"q{k}") for k, p in enumerate(fused)))
-    best = F.greatest(*(f"q{k}" for k in range(len(names))))
-    lang = F.coalesce(*(F.when(F.col(f"q{k}") == best, F.lit(x)) for k, x in enumerate([*langs, "und"])))
+    # Written before the shares are taken: a filter on the outcome would otherwise repeat all of this in its condition.
+    fused = stash(scored.join(priors, ["suffix", "host"]).select("doc_id", "n_bytes", "declared", "suffix", *names, *(e.alias(f"e{k}") for k, e in enumerate(evidence))))
+    best = F.greatest(*(f"e{k}" for k in range(len(names))))
+    lang = F.coalesce(*(F.when(F.col(f"e{k}") == best, F.lit(x)) for k, x in enumerate([*langs, "und"])))
+    share_of_best = 1 / functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"e{k}") - best) for k in range(len(names))])
     text_best = F.greatest(*names)
     text_lang = F.coalesce(*(F.when(F.col(n) == text_best, F.lit(x)) for n, x in zip(names, [*langs, "und"], strict=True)))
-    out = joined.select("doc_id", "n_bytes", F.when(known, lang).otherwise("und").alias("lang"), F.when(known, best).otherwise(1.0).alias("probability"), F.when(known, text_lang).otherwise("und").alias("text_lang"), "declared", "suffix")
+    out = fused.select("doc_id", "n_bytes", F.when(known, lang).otherwise("und").alias("lang"), F.when(known, share_of_best).otherwise(1.0).alias("probability"), F.when(known, text_lang).otherwise("und").alias("text_lang"), "declared", "suffix")
     return out.withColumn("rejected", F.col("lang") == "und")
 
 
