@@ -109,7 +109,10 @@ def _context_terms(text: Column, span: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, start, end, removed) of the terms over the threshold; ``found``: rows with spans, as stashed."""
-    entity = F.explode(F.concat(*(F.transform(k, lambda s, k=k: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
+    def entities_of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+
+    entity = F.explode(F.concat(*map(entities_of, KINDS)))
     near = found.select("doc_id", "key", "text", entity.alias("s"))
     near = near.select("doc_id", "key", F.col("s.entity").alias("entity"), F.explode(_context_terms(F.col("text"), F.col("s"))).alias("w"))
     near = stash(near.select("doc_id", "key", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).filter(~F.col("term").rlike("^[0-9]+$")))
@@ -156,8 +159,10 @@ def _listed(kind: str) -> Column:
 
 def sanitised(found: DataFrame) -> Column:
     """The text of ``personal_data`` rows with base spans named by kind and disclosing terms generalised or removed."""
-    label = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-    plain = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label[k]).alias("by"))) for k in KINDS]
+    def replaced(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by")))
+
+    plain = [replaced(k) for k in KINDS]
     terms = F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))
     # Base spans come first among those that start together: they are the longer part of what has to go.
     spans = F.array_sort(F.concat(*plain, terms), lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
