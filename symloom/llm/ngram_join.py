@@ -28,7 +28,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -39,12 +41,11 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import broadcast_if_small, documents, ids_of, mix, n_buckets, packed_rows, prefix_hash, short_batches, stash, texts_of, window_hash
 
-#: Segments that have to agree beyond the one that the bound gives: pairs then agree on a non-empty segment unless
-#: more of their segments are empty than this, and such documents give out their empty segments too.
+#: Least number of segments that have to agree beyond the one that the bound gives.
 EXTRA = 2
 #: Documents of a chunk, leaves below a node, and bits of a bitmap.
 CHUNK, FANOUT, BITS = 512, 8, 1024
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -79,7 +80,7 @@ class SizeClasses:
     """Classes of set sizes for a threshold of num / den, and their numbers of segments."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
+        self.num, self.den, self.starts, self._spare = num, den, [1], {}
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -93,6 +94,23 @@ class SizeClasses:
         top = self.starts[c + 1] - 1
         return 2 * top * (self.den - self.num) // (self.den + self.num)
 
+    def spare(self, c: int) -> int:
+        """Segments that have to agree beyond the first: more than a set of the class has empty ones, but for rare sets.
+
+        Partners agree on 1 + spare segments. Either one of these holds shingles, or both sets have 1 + spare empty
+        segments in common; sets with so many give out every combination of 1 + spare of them as well. The number
+        decides how many keys there are, never which links are found.
+        """
+        if c not in self._spare:
+            first, n = self.may_differ(c) + 1, self.starts[max(0, c - 1)]
+            spare = EXTRA
+            for _ in range(12):
+                segments = first + spare
+                empty = segments * math.exp(-n / segments)
+                spare = max(spare, min(math.ceil(empty + 4 * math.sqrt(empty)), max(EXTRA, int(n / 1.5) - first)))
+            self._spare[c] = spare
+        return self._spare[c]
+
     def links(self, both: int, a: int, b: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
@@ -109,7 +127,8 @@ def segment_keys(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
     own = classes.of(len(s))
     sums = np.r_[np.uint64(0), np.cumsum(mix(s + _K[3]))]
     for c in (own, own + 1):
-        n = classes.may_differ(c) + 1 + EXTRA
+        spare = classes.spare(c)
+        n = classes.may_differ(c) + 1 + spare
         cuts = _cuts.get(n)
         if cuts is None:
             cuts = _cuts[n] = np.array([(k << 64) // n for k in range(n)], np.uint64)
@@ -117,7 +136,12 @@ def segment_keys(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
         at[0] = 0
         keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(n, dtype=np.uint64) * _K[4] + np.uint64(c * int(_K[5]) & 0xFFFFFFFFFFFFFFFF)))
         full = at[1:] > at[:-1]
-        out.append(keys if n - full.sum() > EXTRA else keys[full])
+        out.append(keys[full])
+        none = np.flatnonzero(~full)
+        if len(none) > spare:
+            marks = mix(none.astype(np.uint64) * _K[1] + _K[2])
+            sums_of = [sum(x) & 0xFFFFFFFFFFFFFFFF for x in combinations(marks.tolist(), spare + 1)]
+            out.append(mix(np.array(sums_of, np.uint64) ^ np.uint64(c * int(_K[5]) & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out)
 
 
@@ -125,6 +149,30 @@ KEYED = np.dtype([("key", "<u8"), ("doc", "<i8")])
 MEMBER = np.dtype([("doc", "<i8"), ("n", "<i8"), ("h1", "<u8"), ("h2", "<u8")])
 
 
+def pack_keyed(keyed: np.ndarray) -> bytes:
+    """Records of one bucket by document: number of documents, ids, keys each, and six bytes of every key.
+
+    Six bytes and the bucket, which follows from the others, tell about 2 ** 48 keys a bucket apart; keys that
+    fall together make a candidate more, never a link.
+    """
+    keyed = keyed[np.argsort(keyed["doc"], kind="stable")]
+    new = np.flatnonzero(np.r_[True, np.diff(keyed["doc"]) != 0])
+    counts = np.diff(np.r_[new, len(keyed)])
+    keys = np.ascontiguousarray(keyed["key"]).view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join([np.array([len(new)], "<u4").tobytes(), keyed["doc"][new].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), keys.tobytes()])
+
+
+def unpack_keyed(blob: bytes) -> np.ndarray:
+    (n,) = np.frombuffer(blob, "<u4", 1).tolist()
+    docs, counts = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
+    raw = np.frombuffer(blob, np.uint8, offset=4 + 12 * n).reshape(-1, 6)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, :6] = raw
+    out = np.empty(len(raw), KEYED)
+    out["key"], out["doc"] = keys.view("<u8").ravel(), np.repeat(docs, counts)
+    return out
+
+
 def _combine(keyed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one record per key with its smallest id, candidate links of that id to the others)."""
     keyed = keyed[np.lexsort((keyed["doc"], keyed["key"]))]
@@ -147,8 +195,8 @@ def candidates(docs: DataFrame, classes: SizeClasses, width: int, n: int) -> Dat
             keyed, links = _combine(np.concatenate(held))
             held.clear()
             buckets = {}
-            for b, r in packed_rows((keyed["key"] % np.uint64(n)).astype(np.int64), keyed):
-                buckets.setdefault(b, [b"", b""])[0] = r.tobytes()
+            for b, r in packed_rows(((keyed["key"] >> np.uint64(32)) % np.uint64(n)).astype(np.int64), keyed):
+                buckets.setdefault(b, [b"", b""])[0] = pack_keyed(r)
             if len(links):
                 for b, r in packed_rows((mix(links[:, 1].astype(np.uint64)) % np.uint64(n)).astype(np.int64), links):
                     buckets.setdefault(b, [b"", b""])[1] = r.astype("<i8").tobytes()
@@ -173,7 +221,8 @@ def candidates(docs: DataFrame, classes: SizeClasses, width: int, n: int) -> Dat
         yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        keyed = np.frombuffer(b"".join(table.column("keys").to_pylist()), KEYED)
+        keyed = [unpack_keyed(x) for x in table.column("keys").to_pylist() if x]
+        keyed = np.concatenate(keyed) if keyed else np.empty(0, KEYED)
         links = np.frombuffer(b"".join(table.column("links").to_pylist()), "<i8").reshape(-1, 2)
         m = np.frombuffer(b"".join(table.column("members").to_pylist()), MEMBER)
         if len(keyed):
@@ -371,8 +420,8 @@ def components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, chu
         left, right = chunks.toDF("group", "c0", "k0", "one0"), chunks.toDF("group", "c1", "k1", "one1")
         pairs = stash(left.join(right, "group").filter("c0 < c1 AND NOT (k0 = 1 AND k1 = 1 AND one0 = one1)").select("group", "c0", "c1"))
         if not pairs.isEmpty():
-            block = F.xxhash64("group", "c0", "c1")
-            sides = [here.join(pairs, (here["group"] == pairs["group"]) & (here["chunk"] == pairs[c])).select("doc_id", "label", block.alias("block"), F.lit(k).alias("side")) for k, c in enumerate(("c0", "c1"))]
+            block = F.xxhash64("p.group", "c0", "c1").alias("block")
+            sides = [here.alias("h").join(pairs.alias("p"), (F.col("h.group") == F.col("p.group")) & (F.col("chunk") == F.col(c))).select("doc_id", "label", block, F.lit(k).alias("side")) for k, c in enumerate(("c0", "c1"))]
             labels = _merge(labels, blocks(stash(sides[0].union(sides[1]))))
 
     label_of = labels.select(F.col("doc_id").alias("rep"), "label")
