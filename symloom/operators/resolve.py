@@ -76,6 +76,26 @@ def _found(target: str, confidence: Column | float, tier: str, alternatives: Col
     return F.when(F.col(target).isNotNull(), F.struct(F.col(target).alias("target"), conf.cast("double").alias("confidence"), F.lit(tier).alias("tier"), (none if alternatives is None else F.when(F.size(alternatives) > 0, alternatives)).alias("alternatives")))
 
 
+def implementation_names(language: str, type_: str) -> Column:
+    """Names under which an injected interface is usually implemented, in order."""
+    t, lang = F.col(type_), F.col(language)
+    none = F.array().cast("array<string>")
+    prefixed = F.when(t.rlike("^I[A-Z]"), F.array(F.substring(t, 2, 1000))).otherwise(none)
+    stem = F.when(t.endswith("er"), F.array(F.regexp_replace(t, "er$", ""), F.concat(F.lit("Default"), t))).otherwise(F.array(F.concat(F.lit("Default"), t)))
+    return F.when(lang.isin("typescript", "tsx", "javascript", "csharp"), prefixed).when(lang.isin("java", "kotlin", "scala", "php"), F.array(F.concat(t, F.lit("Impl")), F.concat(F.lit("Default"), t))).when(lang == "go", stem).otherwise(none)
+
+
+def injected(sites: DataFrame, symbols: DataFrame, owned: DataFrame) -> DataFrame:
+    """(file, di_type, call_name, di_guess, di_impl): the method by name in the nearest file that has the type, else in a usual implementation."""
+    wanted = sites.filter("di_type IS NOT NULL").select("file", "language", "di_type", "call_name").distinct()
+    home = closest(wanted.select("file", F.col("di_type").alias("name")), symbols, ["name"]).select("file", F.col("name").alias("di_type"), "target_file")
+    tries = wanted.select("file", "di_type", "call_name", F.posexplode(implementation_names("language", "di_type")).alias("k", "type"))
+    impl = tries.join(owned.select("type", F.col("name").alias("call_name"), "qualified", "ord"), ["type", "call_name"]).groupBy("file", "di_type", "call_name").agg(F.min(F.struct("k", "ord", "qualified")).alias("m"))
+    out = wanted.select("file", "di_type", "call_name").distinct().join(home, ["file", "di_type"], "left").join(impl, ["file", "di_type", "call_name"], "left")
+    guess = F.when(F.col("target_file").isNotNull(), F.concat("target_file", F.lit("::"), "di_type", F.lit("."), "call_name"))
+    return out.select("file", "di_type", "call_name", guess.alias("di_guess"), F.col("m.qualified").alias("di_impl"))
+
+
 def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, hierarchy: DataFrame | None = None, noise: DataFrame | None = None) -> DataFrame:
     """``sites`` with target, confidence, tier, alternatives and outcome.
 
@@ -102,10 +122,11 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, h
         return best.select("file", F.col("own").alias(column), F.col("name").alias("call_name"), F.col("m.qualified").alias(f"{prefix}_up"))
 
     out = sites.join(typed("receiver_type", "rc"), ["file", "receiver_type", "call_name"], "left").join(typed("di_type", "di"), ["file", "di_type", "call_name"], "left").join(typed("resolve_in_class", "cl"), ["file", "resolve_in_class", "call_name"], "left")
+    out = out.join(injected(sites, symbols, owned), ["file", "di_type", "call_name"], "left")
     if hierarchy is not None:
-        out = out.join(inherited("receiver_type", "rc"), ["file", "receiver_type", "call_name"], "left").join(inherited("resolve_in_class", "cl"), ["file", "resolve_in_class", "call_name"], "left")
+        out = out.join(inherited("di_type", "di"), ["file", "di_type", "call_name"], "left").join(inherited("receiver_type", "rc"), ["file", "receiver_type", "call_name"], "left").join(inherited("resolve_in_class", "cl"), ["file", "resolve_in_class", "call_name"], "left")
     else:
-        out = out.withColumns({"rc_up": F.lit(None).cast("string"), "cl_up": F.lit(None).cast("string")})
+        out = out.withColumns({c: F.lit(None).cast("string") for c in ("rc_up", "cl_up", "di_up")})
     if noise is not None:
         out = out.join(F.broadcast(noise.select("language", F.col("name").alias("call_name")).distinct().withColumn("noisy", F.lit(True))), ["language", "call_name"], "left")
     else:
@@ -125,7 +146,7 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, h
         F.when(F.col("g_n") == 1, _found("g_target", F.when(F.col("g_file").startswith(F.concat(directory("file"), F.lit("/"))), 0.6).otherwise(0.5), "unique")),
         F.when(F.col("g_n") > 1, _found("g_target", 0.3, "ambiguous", F.col("g_alt"))),
     ]
-    found = F.coalesce(_found("rc_target", F.when(F.col("rc_n") == 1, 0.95).otherwise(0.9), "receiver", F.col("rc_alt")), _found("rc_up", 0.85, "receiver"), _found("di_target", 0.95, "di"), F.when(~quiet, F.coalesce(*cascade)))
+    found = F.coalesce(_found("rc_target", F.when(F.col("rc_n") == 1, 0.95).otherwise(0.9), "receiver", F.col("rc_alt")), _found("rc_up", 0.85, "receiver"), _found("di_target", 0.95, "di"), _found("di_up", 0.9, "di"), _found("di_impl", 0.9, "di"), _found("di_guess", 0.95, "di"), F.when(~quiet, F.coalesce(*cascade)))
     out = out.withColumn("r", found)
     outcome = F.when(F.col("r").isNotNull(), F.col("r.tier")).when(quiet, "noise").when(F.col("definitions") > 1, "too_common").otherwise("external")
     return out.select(*sites.columns, "r.target", "r.confidence", "r.tier", "r.alternatives", outcome.alias("outcome"))

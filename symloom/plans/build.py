@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import CodeGraph, file_of
 from ..operators import changes, derive, resolve
-from ..sources import discovery, extract, imports
+from ..sources import discovery, extract, imports, noise
 from .scratch import cut
 
 _NODE = ("kind", "ast_kind", "name", "qualified_name", "file_path", "line_start", "line_end", "language", "parent_name", "params", "return_type", "modifiers", "is_test", "file_hash", "content_hash", "is_exported", "is_async", "decorators", "throws", "complexity", "ord")
@@ -26,9 +26,8 @@ def manifest_of(root: str) -> dict:
     return imports.read_manifest(texts)
 
 
-def graph_of_files(files: DataFrame, manifest: dict | None = None, baseline: CodeGraph | None = None, noise: DataFrame | None = None) -> CodeGraph:
+def graph_of_files(files: DataFrame, manifest: dict | None = None, baseline: CodeGraph | None = None, noise_names: DataFrame | None = None) -> CodeGraph:
     """The graph of ``files`` (file_path, language, content, file_hash); a ``baseline`` lends its symbols and files."""
-    spark = files.sparkSession
     extracted = cut(extract.extract(files))
     staged = cut(extract.nodes_of(extracted))
     nodes = staged.select(*_NODE)
@@ -50,7 +49,7 @@ def graph_of_files(files: DataFrame, manifest: dict | None = None, baseline: Cod
     sites = calls.withColumn("field", field).join(injected, ["file", "field"], "left")
     sites = sites.select(F.xxhash64("file", "k").alias("site_id"), "file", "language", F.col("name").alias("call_name"), F.when(F.col("di").isNull(), F.col("receiver_type")).alias("receiver_type"), F.col("di").alias("di_type"), F.col("in_class").alias("resolve_in_class"), "line")
     heritage = staged.filter("kind IN ('Class', 'Interface')").select("name", F.explode(F.array_compact(F.concat(F.array("extends"), F.coalesce("implements", F.array().cast("array<string>"))))).alias("parent"))
-    resolved = resolve.resolve_calls(cut(sites), symbols, import_map, heritage, noise).filter("target IS NOT NULL")
+    resolved = resolve.resolve_calls(cut(sites), symbols, import_map, heritage, noise_names).filter("target IS NOT NULL")
     placed = changes.enclosing_function(nodes, resolved.withColumnRenamed("file", "file_path"))
     edges = placed.filter("source <> target").select(F.lit("CALLS").alias("kind"), F.col("source").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", "confidence", "tier", "alternatives")
     everything = nodes.unionByName(baseline.nodes.select(*_NODE), allowMissingColumns=True) if baseline is not None else nodes
@@ -62,12 +61,11 @@ def graph_of_files(files: DataFrame, manifest: dict | None = None, baseline: Cod
     out = edges
     for rows in plain:
         out = out.unionByName(rows, allowMissingColumns=True)
-    del spark
     return CodeGraph(nodes, cut(out))
 
 
 def parse(spark: SparkSession, root: str, files: list[str] | None = None, include=(), exclude=(), max_files: int | None = None, allow_partial: bool = False) -> CodeGraph:
-    return graph_of_files(discovery.discover(spark, root, files, include, exclude, max_files, allow_partial), manifest_of(root))
+    return graph_of_files(discovery.discover(spark, root, files, include, exclude, max_files, allow_partial), manifest_of(root), noise_names=noise.noise_table(spark))
 
 
 def update(graph: CodeGraph, files: DataFrame, manifest: dict | None = None) -> CodeGraph:

@@ -125,6 +125,16 @@ def test_tiers_in_order(spark):
     assert got == {1: ("a/x.ts::f", 0.85, "same"), 2: ("b/y.ts::only", 0.5, "unique"), 3: ("b/y.ts::T.m", 0.95, "receiver"), 4: ("a/x.ts::f", 0.3, "ambiguous"), 5: ("b/y.ts::f", 0.9, "import"), 6: (None, None, "external"), 7: (None, None, "noise")}
 
 
+def test_injected_types_go_to_declared_or_usual_implementations(spark):
+    g = graph(spark, [("a/repo.ts::Repo", {"kind": "Class"}), ("a/foo.java::FooImpl.run", {"kind": "Method"}), ("a/base.ts::Base.save", {"kind": "Method"})], [])
+    rows = [(1, "a/s.ts", "typescript", "load", "Repo"), (2, "a/s.java", "java", "run", "Foo"), (3, "a/s.ts", "typescript", "save", "Repo")]
+    sites = spark.createDataFrame([(i, f, lang, n, None, t, None) for i, f, lang, n, t in rows], "site_id long, file string, language string, call_name string, receiver_type string, di_type string, resolve_in_class string")
+    none = spark.createDataFrame([], "file string, name string, target_file string")
+    up = spark.createDataFrame([("Repo", "Base")], "name string, parent string")
+    got = {r.site_id: (r.target, r.confidence, r.tier) for r in resolve.resolve_calls(sites, resolve.symbol_table(g.nodes), none, up).collect()}
+    assert got == {1: ("a/repo.ts::Repo.load", 0.95, "di"), 2: ("a/foo.java::FooImpl.run", 0.9, "di"), 3: ("a/base.ts::Base.save", 0.9, "di")}
+
+
 def test_scalars(spark):
     rows = spark.createDataFrame([("( a ,\n b, )", "a/user.test.ts", "Promise<Map<A, B>>")], "p string, f string, r string")
     got = rows.select(S.normalize_params("p").alias("p"), S.test_stem("f").alias("s"), resolve.strip_generics("r").alias("r"), S.camel_to_snake(F.lit("HTTPServerName")).alias("c")).first()
