@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, ngram_join, packing, privacy, quality, repeats, tokens
+from . import exact_dedup, language, media, ngram_join, packing, privacy, quality, repeats, sql, tokens
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLES = {"op3_ngram_join": sql.OP3, "op7_exact_dedup": exact_dedup.OP7_SQL, "op8_repeats": sql.OP8}
