@@ -60,11 +60,6 @@ def n_buckets(df: DataFrame, text: str, bytes_per_bucket: int) -> int:
     return max(1, -(-int(total) // bytes_per_bucket))
 
 
-def unique_id(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns named; extra columns with clashing names cannot disturb the operators."""
-    return df.select(*names)
-
-
 # ---- hashing: 64-bit, vectorised, the same in every process
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
