@@ -16,8 +16,10 @@
    overlap of any two members is below what the threshold asks for, or where
    all members are known to be connected; pairs of leaves are decided by the
    sets themselves.
-3. Chunks of one group meet by their components' representatives first and
-   then, where these still differ, pair by pair. Links are exact; what is
+3. Chunks of one group meet by their components' representatives first.
+   Where a group then still holds several components, its sets meet by
+   bitmaps and sizes alone, block by block of neighbouring size classes, and
+   the pairs that may link are decided by the sets. Links are exact; what is
    pruned is pairs that cannot link and pairs already in one component.
 
 Null and empty texts have no shingles and link with nothing. Texts with equal
@@ -45,6 +47,8 @@ from .shared import broadcast_if_small, documents, ids_of, mix, n_buckets, packe
 EXTRA = 2
 #: Documents of a chunk, leaves below a node, and bits of a bitmap.
 CHUNK, FANOUT, BITS = 512, 8, 1024
+#: 64-bit words of the bitmaps that representatives of large groups are held against, and sets of a part of a block.
+WORDS, PART = 32, 8192
 BUCKET_BYTES = 32 << 20
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -360,18 +364,81 @@ def _tree_links(pdf: pd.DataFrame, classes: SizeClasses, width: int) -> pd.DataF
         if leads:
             root = tree.build(leads)
             tree.join(root, root)
-    return pd.DataFrame({"a": [ids[tree.find(k)] for k in range(len(ids))], "b": ids})
+    tied = {(labels[tree.find(k)], labels[k]) for k in range(len(ids))}
+    return pd.DataFrame([t for t in tied if t[0] != t[1]], columns=["a", "b"], dtype="int64")
+
+
+SIGNED = np.dtype([("doc", "<i8"), ("label", "<i8"), ("n", "<i8"), ("map", "<u8", WORDS)])
+
+
+def _possible_pairs(docs: DataFrame, classes: SizeClasses, width: int) -> DataFrame:
+    """Pairs (a, b) of one group that sizes and bitmaps allow to link and that are not known to be connected.
+
+    ``docs``: (doc_id, text, group, label). Only bitmaps travel. A set meets those of its own size class and
+    the next: each block holds one class of one group, with the class below; a large block is dealt into parts
+    by its upper side.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, group, label, s in zip(ids_of(batch).tolist(), batch.column("group").to_pylist(), batch.column("label").to_pylist(), _sets(batch, width), strict=True):
+                if not len(s):
+                    continue
+                one = np.zeros(1, SIGNED)
+                one["doc"], one["label"], one["n"] = doc, label, len(s)
+                bit = s % np.uint64(64 * WORDS)
+                np.bitwise_or.at(one["map"][0], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                c = classes.of(len(s))
+                out += [(group, c, 1, doc, one.tobytes()), (group, c + 1, 0, doc, one.tobytes())]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["group", "class", "upper", "doc", "signed"])
+
+    signed = stash(docs.select("doc_id", "text", "group", "label").mapInArrow(sign, "group long, class int, upper int, doc long, signed binary"))
+    crowded = _small(signed.filter("upper = 1").groupBy("group", "class").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")))
+    # The upper side is dealt out, the others of its block come to every part.
+    dealt = signed.join(crowded, ["group", "class"])
+    own = dealt.filter("upper = 1").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("upper", F.lit(1))
+    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("upper", F.lit(0))
+    sides = own.select("group", "class", "part", "upper", "signed").union(every.select("group", "class", "part", "upper", "signed"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        upper = np.array(table.column("upper").to_pylist())
+        every = np.frombuffer(b"".join(table.column("signed").to_pylist()), SIGNED)
+        left, right = every[upper == 1], every[upper == 0]
+        right = right[np.argsort(right["n"], kind="stable")]
+        found = []
+        for x in left:
+            n = int(x["n"])
+            lo, hi = np.searchsorted(right["n"], -(-classes.num * n // classes.den), "left"), np.searchsorted(right["n"], n, "right")
+            near = right[lo:hi]
+            if not len(near):
+                continue
+            # As in the trees: a bit that only one side has is a shingle that the overlap lacks.
+            least = -(-classes.num * (n + near["n"]) // (classes.num + classes.den))
+            most = np.minimum(n - np.bitwise_count(x["map"] & ~near["map"]).sum(axis=1, dtype=np.int64), near["n"] - np.bitwise_count(near["map"] & ~x["map"]).sum(axis=1, dtype=np.int64))
+            hit = near[(most >= least) & (near["label"] != x["label"])]
+            found += [(min(int(x["doc"]), d), max(int(x["doc"]), d)) for d in hit["doc"].tolist()]
+        found = list(set(found))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    block = F.xxhash64("group", "class", "part").alias("block")
+    return stash(sides.select(block, "upper", "signed").groupBy("block").applyInArrow(lambda t: compare(t), "a long, b long").distinct())
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, written; broadcast where its checked size allows it."""
+    return broadcast_if_small(stash(df), 48)
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (doc_id, group, label) after more links between documents of a group."""
-    over = links.filter("a <> b")
-    joined = over.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b").filter("x <> y")
-    joined = stash(joined.select("x", "y").distinct())
-    if joined.isEmpty():
+    """``labels`` (doc_id, group, label) after more links (a, b) between labels."""
+    links = links.filter("a <> b")
+    if links.isEmpty():
         return labels
-    new = connected_components(joined, "x", "y")
-    return stash(labels.join(new, labels["label"] == new["node"], "left").select("doc_id", "group", F.coalesce("component", "label").alias("label")))
+    new = connected_components(links).select(F.col("node").alias("label"), "component")
+    return _small(labels.join(_small(new), "label", "left").select("doc_id", "group", F.coalesce("component", "label").alias("label")))
 
 
 def components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,55 +449,55 @@ def components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, chu
     found = stash(candidates(rows, classes, width, n_buckets(rows, "text", BUCKET_BYTES)))
     members = found.filter("n IS NOT NULL").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
 
-    # Equal sets: one representative each goes on.
-    classes_of = members.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    copies = stash(members.join(classes_of, ["n_shingles", "h1", "h2"]).select("doc_id", "rep"))
-    to_rep = copies.filter("doc_id <> rep")
+    # Equal sets: one representative each goes on, the smallest id.
+    same = members.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    copies = _small(members.join(_small(same), ["n_shingles", "h1", "h2"]).select("doc_id", "rep").distinct())
     links = found.filter("b IS NOT NULL").select("a", "b")
     for side in ("a", "b"):
-        links = links.join(to_rep.select(F.col("doc_id").alias(side), "rep"), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
-    links = stash(links.filter("a <> b").distinct())
-    groups = connected_components(links)
-    labels = stash(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"), F.col("node").alias("label")))
+        links = links.join(copies.select(F.col("doc_id").alias(side), "rep"), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+    groups = connected_components(links.filter("a <> b"))
+    labels = _small(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"), F.col("node").alias("label")))
 
     def blocks(placed: DataFrame) -> DataFrame:
-        """Links found in blocks; ``placed``: (doc_id, label, block, side), text joined on."""
-        schema = "a long, b long"
-        texts = rows.join(broadcast_if_small(placed, 40), "doc_id")
-        return stash(texts.groupBy("block").applyInPandas(lambda pdf: _tree_links(pdf, classes, width), schema))
+        """Links (a, b) between labels found in blocks of ``placed`` (doc_id, label, block, side), whose texts are joined on."""
+        texts = rows.join(placed, "doc_id")
+        return stash(texts.groupBy("block").applyInPandas(lambda pdf: _tree_links(pdf, classes, width), "a long, b long"))
 
     def dealt(part: DataFrame, salt: int) -> DataFrame:
-        sizes = part.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
-        part = part.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")))
+        """``part`` with chunk, chunks and block: groups larger than a chunk are dealt out by a hash of the id."""
+        large = part.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")).filter("chunks > 1")
+        part = part.join(_small(large), "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        part = part.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")))
         return part.withColumn("block", F.xxhash64("group", "chunk", F.lit(salt)))
 
-    placed = stash(dealt(labels, 0).select("doc_id", "group", "label", "chunk", "chunks", "block", F.lit(0).alias("side")))
+    placed = _small(dealt(labels, 0).select("doc_id", "group", "label", "chunk", "chunks", "block", F.lit(0).alias("side")))
     labels = _merge(labels, blocks(placed.select("doc_id", "label", "block", "side")))
-    split = stash(placed.filter("chunks > 1").select("group", "doc_id", "chunk"))
-    if not split.isEmpty():
-        # Representatives of the components in chunks first, then pairs of chunks that still hold different components.
-        split_groups = split.select("group").distinct()
-        for salt in (1, 2):
-            reps = labels.join(split_groups, "group", "left_semi").groupBy("group", "label").agg(F.min("doc_id").alias("doc_id"))
-            reps = stash(dealt(reps, salt).select("doc_id", "label", "block", F.lit(0).alias("side")))
-            labels = _merge(labels, blocks(reps))
-        open_groups = labels.join(split_groups, "group", "left_semi").groupBy("group").agg(F.count_distinct("label").alias("k")).filter("k > 1").select("group")
-        here = stash(split.join(open_groups, "group", "left_semi").join(labels.select("doc_id", "label"), "doc_id"))
-        chunks = here.groupBy("group", "chunk").agg(F.count_distinct("label").alias("k"), F.min("label").alias("one"))
-        left, right = chunks.toDF("group", "c0", "k0", "one0"), chunks.toDF("group", "c1", "k1", "one1")
-        pairs = stash(left.join(right, "group").filter("c0 < c1 AND NOT (k0 = 1 AND k1 = 1 AND one0 = one1)").select("group", "c0", "c1"))
-        if not pairs.isEmpty():
-            block = F.xxhash64("p.group", "c0", "c1").alias("block")
-            sides = [here.alias("h").join(pairs.alias("p"), (F.col("h.group") == F.col("p.group")) & (F.col("chunk") == F.col(c))).select("doc_id", "label", block, F.lit(k).alias("side")) for k, c in enumerate(("c0", "c1"))]
-            labels = _merge(labels, blocks(stash(sides[0].union(sides[1]))))
+    split = placed.filter("chunks > 1").select("group", "doc_id", "chunk")
 
+    def still_open() -> DataFrame:
+        """Split groups that hold more than one component."""
+        return _small(labels.join(_small(split.select("group").distinct()), "group", "left_semi").groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("group"))
+
+    if not split.isEmpty():
+        # Representatives of the components in chunks first, then what the bitmaps leave.
+        open_groups = still_open()
+        if not open_groups.isEmpty():
+            reps = labels.join(open_groups, "group", "left_semi").groupBy("group", "label").agg(F.min("doc_id").alias("doc_id"))
+            labels = _merge(labels, blocks(_small(dealt(reps, 1).select("doc_id", "label", "block", F.lit(0).alias("side")))))
+            open_groups = still_open()
+        if not open_groups.isEmpty():
+            here = _small(split.join(open_groups, "group", "left_semi").select("doc_id", "group").join(labels.select("doc_id", "label"), "doc_id"))
+            pairs = _possible_pairs(rows.join(here, "doc_id"), classes, width)
+            if not pairs.isEmpty():
+                wanted = pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("side")).union(pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct())
+                labels = _merge(labels, blocks(wanted.join(labels.select("doc_id", "label"), "doc_id").select("doc_id", "label", F.col("a").alias("block"), "side")))
+
+    # A component's id is its smallest document; representatives are the smallest of their copies.
     label_of = labels.select(F.col("doc_id").alias("rep"), "label")
-    # A component's id is its smallest document, copies included: representatives are the smallest of their class.
     of_copy = copies.join(label_of, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label"))
-    single = labels.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "label")
-    linked = stash(of_copy.union(single).distinct())
-    smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    final = broadcast_if_small(stash(linked.join(smallest, "label").select("doc_id", "component_id")), 24)
+    linked = of_copy.union(labels.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "label"))
+    smallest = _small(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    final = _small(linked.join(smallest, "label").select("doc_id", "component_id"))
     return members.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
