@@ -90,7 +90,9 @@ def _pieces(texts: list[bytes], limit: int = 1 << 20):
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> TextModel:
     """Trigram counts of at most ``rows`` labelled documents; only counts reach the driver."""
     short_batches(labelled.sparkSession)
-    sample = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(rows)
+    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    # Hashes are chosen first, so that no text is sorted or sent; ``rows`` of them are a bounded broadcast.
+    sample = usable.join(F.broadcast(usable.select("h").orderBy("h").limit(rows).distinct()), "h", "left_semi").limit(rows)
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
