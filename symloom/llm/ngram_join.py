@@ -490,7 +490,8 @@ def components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, chu
             pairs = _possible_pairs(rows.join(here, "doc_id"), classes, width)
             if not pairs.isEmpty():
                 wanted = pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("side")).union(pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct())
-                labels = _merge(labels, blocks(wanted.join(labels.select("doc_id", "label"), "doc_id").select("doc_id", "label", F.col("a").alias("block"), "side")))
+                placed = _small(wanted.join(labels.select("doc_id", "label"), "doc_id").select("doc_id", "label", F.col("a").alias("block"), "side"))
+                labels = _merge(labels, blocks(placed))
 
     # A component's id is its smallest document; representatives are the smallest of their copies.
     label_of = labels.select(F.col("doc_id").alias("rep"), "label")
