@@ -8,10 +8,10 @@ words within ``CONTEXT`` characters of its spans are its candidate terms
     IC(e)     = log2(N / n(e))                       bits that e carries
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))    bits of e that t reveals
 
-with n counting documents. A term that was seen with e in ``SUPPORT``
-documents or more and reveals at least ``DISCLOSURE`` of its bits exceeds the
-threshold: near e it is removed where it reveals all of them, and generalised
-to its kind otherwise. Documents without an entity are never changed.
+with n counting documents. Every pair is scored, also one that a single
+document holds. A term that reveals at least ``DISCLOSURE`` of e's bits exceeds
+the threshold: near e it is removed where it reveals all of them, and
+generalised to its kind otherwise. Documents without an entity are never changed.
 
 Null counts as an empty text: no spans. Repeated rows get the same spans each
 and count each in n; the same id on different texts is kept apart. Spans of a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, documents, stash
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, DISCLOSURE = 64, 2, 0.75
+CONTEXT, DISCLOSURE = 64, 0.75
 WORD = r"[\p{L}\p{N}]{3,}"
 
 # Each pattern matches what its plain form in the contract matches. Look-behinds keep a failed run from being
@@ -118,7 +118,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     near = stash(near.select("doc_id", "key", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).filter(~F.col("term").rlike("^[0-9]+$")))
 
     seen = near.select("doc_id", "key", "entity", "term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     entities = near.select("doc_id", "key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = stash(together.join(entities, "entity"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symloom.llm import language, privacy, quality
+from symloom.llm import exact_dedup, language, privacy, quality
 
 from .conftest import frame, words
 
@@ -116,6 +116,15 @@ def test_terms_that_reveal_an_entity(spark, docs, rows, nothing):
     assert privacy.personal_data(nothing).count() == 0
 
 
+def test_terms_of_an_entity_in_one_document_of_deduplicated_ones(spark):
+    texts = [f"common words number{k} stand here" for k in range(40)] + ["common words quuxberg j.d@h.example.org stand here"] * 2 + ["common words stand here again"]
+    docs = exact_dedup.kept_documents(frame(spark, list(enumerate(texts))))
+    found = privacy.personal_data(docs)
+    got = {r.doc_id: r for r in found.select("*", privacy.sanitised(found).alias("new")).collect()}
+    assert len(got) == 42 and [(got[41].text[s.start : s.end], s.removed) for s in got[41].term] == [("quuxberg", True)]
+    assert got[41].new == "common words  [EMAIL] stand here" and all(r.new == r.text for k, r in got.items() if k != 41)
+
+
 def test_op5_digest(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in privacy.op5_pii(spark, str(tmp_path)).collect()}
