@@ -22,7 +22,7 @@ sup AS (SELECT s_suppkey, n_nationkey, n_name, 'r'||CAST(n_regionkey AS STRING)|
 cq AS (SELECT c_custkey, f, f||'::C'||CAST(c_custkey AS STRING) AS q FROM cust),
 pq AS (SELECT p_partkey, p_type, f, f||'::'||p_type||'.P'||CAST(p_partkey AS STRING) AS q FROM prt),
 sq AS (SELECT s_suppkey, n_nationkey, n_name, f, f||'::S'||CAST(s_suppkey AS STRING) AS q FROM sup),
-li AS (SELECT o_custkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_quantity >= 46),
+li AS (SELECT o_custkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
 cp AS (SELECT DISTINCT o_custkey, l_partkey FROM li),
 ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM li),
 pu AS (SELECT DISTINCT l_partkey, l_suppkey FROM li WHERE l_quantity = 50),
