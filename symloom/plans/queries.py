@@ -214,25 +214,35 @@ FLOWS = f""", ent AS {ENTRIES}, cl AS (SELECT DISTINCT source_qualified s, targe
  fl AS (SELECT e entry, ty "type", max(d) AS depth, count(*) node_count, count(DISTINCT file_path) file_count, count(*)*count(DISTINCT file_path) criticality FROM mem LEFT JOIN nodes n ON n.qualified_name=node GROUP BY e, ty) """
 
 
-@query("flows", FLOWS + 'SELECT entry, "type", depth, node_count, file_count, criticality FROM fl')
-def _(g):
-    return reach.flows(g, reach.flow_members(g, reach.entry_points(g), 2))
+def flow_query(name: str, sql: str):
+    """Registers a function of a graph and its flow members: ``name`` to the operator's depth, ``name_depth2`` to the two levels of its SQL."""
 
+    def keep(f):
+        query(name)(lambda g: f(g, reach.flow_members(g, reach.entry_points(g))))
+        query(f"{name}_depth2", sql)(lambda g: f(g, reach.flow_members(g, reach.entry_points(g), 2)))
+        return f
 
-@query("flow_summary", FLOWS + """SELECT count(*) AS total_flows, count(*) FILTER ("type"='test') AS test_flows, count(*) FILTER ("type"='http') AS http_flows, floor(avg(depth)*10+0.5)/10.0 AS avg_depth, max(criticality) AS max_criticality FROM fl""")
-def _(g):
-    return reach.flow_summary(reach.flows(g, reach.flow_members(g, reach.entry_points(g), 2)))
+    return keep
 
 
-@query("affected_flows", FLOWS + f'SELECT DISTINCT e AS entry, ty AS "type" FROM mem WHERE node IN {SEEDS_SQL} AND node IN (SELECT qualified_name FROM nodes WHERE NOT is_test)')
-def _(g):
-    return reach.affected_flows(g, reach.flow_members(g, reach.entry_points(g), 2), seeds(g))
+@flow_query("flows", FLOWS + 'SELECT entry, "type", depth, node_count, file_count, criticality FROM fl')
+def _(g, m):
+    return reach.flows(g, m)
 
 
-@query("blast_flow_scores", FLOWS + with_blast("""SELECT b.qualified_name, b.depth, floor(b.confidence*w*100+0.5)/100.0 AS impact_score FROM (SELECT b.qualified_name, b.depth, b.confidence, CASE WHEN h IS NOT NULL THEN least(h*1.0/mx,1.0) WHEN t IS NOT NULL THEN 0.3*least(t*1.0/mx,1.0) ELSE 0.1 END w FROM blast0 b
+@flow_query("flow_summary", FLOWS + """SELECT count(*) AS total_flows, count(*) FILTER ("type"='test') AS test_flows, count(*) FILTER ("type"='http') AS http_flows, floor(avg(depth)*10+0.5)/10.0 AS avg_depth, max(criticality) AS max_criticality FROM fl""")
+def _(g, m):
+    return reach.flow_summary(reach.flows(g, m))
+
+
+@flow_query("affected_flows", FLOWS + f'SELECT DISTINCT e AS entry, ty AS "type" FROM mem WHERE node IN {SEEDS_SQL} AND node IN (SELECT qualified_name FROM nodes WHERE NOT is_test)')
+def _(g, m):
+    return reach.affected_flows(g, m, seeds(g))
+
+
+@flow_query("blast_flow_scores", FLOWS + with_blast("""SELECT b.qualified_name, b.depth, floor(b.confidence*w*100+0.5)/100.0 AS impact_score FROM (SELECT b.qualified_name, b.depth, b.confidence, CASE WHEN h IS NOT NULL THEN least(h*1.0/mx,1.0) WHEN t IS NOT NULL THEN 0.3*least(t*1.0/mx,1.0) ELSE 0.1 END w FROM blast0 b
  LEFT JOIN (SELECT node, max(criticality) FILTER (fl."type"='http') h, max(criticality) FILTER (fl."type"='test') t FROM mem JOIN fl ON fl.entry=mem.e AND fl."type"=mem.ty GROUP BY node) x ON x.node=b.qualified_name CROSS JOIN (SELECT greatest(max(criticality),1) mx FROM fl) y) b"""))
-def _(g):
-    m = reach.flow_members(g, reach.entry_points(g), 2)
+def _(g, m):
     return reach.score_blast(reach.blast_radius(g, seeds(g)), m, reach.flows(g, m)).select("qualified_name", "depth", "impact_score")
 
 

@@ -35,3 +35,30 @@ def test_every_line_item_becomes_edges(spark, tables):
     bought = {(f"C{c}", f"T.P{p}") for c, p, _, _, _ in lines}
     supplied = {(f"T.P{p}", f"S{s}") for _, p, s, _, _ in lines}
     assert pairs == bought | supplied | {(f"T.P{k}", f"T.P{k + 1}") for k in range(1, 8)}
+
+
+def walked(edges, start, depth):
+    """Fewest steps to each node within ``depth``."""
+    found, frontier = {start: 0}, {start}
+    for d in range(1, depth + 1):
+        frontier = {t for s, t in edges if s in frontier} - found.keys()
+        found |= dict.fromkeys(frontier, d)
+    return found
+
+
+def test_flow_queries_walk_to_depth_ten(spark, tables):
+    folder, _ = tables
+    g = project(spark, folder)
+    edges = {(r.source_qualified, r.target_qualified) for r in g.of_kind("CALLS").collect()}
+    (entry,) = (r.qualified_name for r in g.nodes.filter("kind = 'Test'").collect())
+    nodes = walked(edges, entry, 10)
+    files = {n.split("::")[0] for n in nodes}
+    assert max(nodes.values()) == 9
+    run = {n: queries.QUERIES[n](spark, folder).collect() for n in ("flows", "flow_summary", "affected_flows", "blast_flow_scores")}
+    assert [tuple(r) for r in run["flows"]] == [(entry, "test", 9, len(nodes), len(files), len(nodes) * len(files))]
+    assert tuple(run["flow_summary"][0]) == (1, 1, 0, 9.0, len(nodes) * len(files))
+    assert [r.entry for r in run["affected_flows"]] == [entry]
+    blast = {r.qualified_name: r.confidence for r in queries.QUERIES["blast_radius"](spark, folder).collect()}
+    scores = {r.qualified_name: r.impact_score for r in run["blast_flow_scores"]}
+    assert scores.keys() == blast.keys() and any(nodes.get(n, 0) > 2 for n in blast)
+    assert all(abs(scores[n] - c * (0.3 if n in nodes else 0.1)) <= 0.0051 for n, c in blast.items())
