@@ -249,11 +249,20 @@ def _(g, m):
 PATH_ENDS = "(SELECT min(qualified_name) a FROM nodes WHERE kind='Function'), (SELECT max(qualified_name) z FROM nodes WHERE kind='Class')"
 
 
-@query("shortest_path_length", f""", ends AS (SELECT a, z FROM {PATH_ENDS.replace('), (', ') p0, (')} p1), cl AS (SELECT DISTINCT source_qualified s, target_qualified t FROM edges WHERE kind='CALLS'),
+def path_length(g: CodeGraph, **more) -> DataFrame:
+    ends = g.nodes.agg(F.min(F.when(F.col("kind") == "Function", F.col("qualified_name"))), F.max(F.when(F.col("kind") == "Class", F.col("qualified_name")))).first()
+    return reach.shortest_path(g, ends[0], ends[1], **more).agg((F.count(F.lit(1)) - 1).alias("length"))
+
+
+@query("shortest_path_length")
+def _(g):
+    return path_length(g)
+
+
+@query("shortest_path_length_depth4", f""", ends AS (SELECT a, z FROM {PATH_ENDS.replace('), (', ') p0, (')} p1), cl AS (SELECT DISTINCT source_qualified s, target_qualified t FROM edges WHERE kind='CALLS'),
  walk(node, d) AS (SELECT a, 0 FROM ends UNION SELECT t, d+1 FROM walk JOIN cl ON s=node WHERE d<4) SELECT CAST(coalesce(min(d), -1) AS BIGINT) AS length FROM walk, ends WHERE node=z""")
 def _(g):
-    ends = g.nodes.agg(F.min(F.when(F.col("kind") == "Function", F.col("qualified_name"))), F.max(F.when(F.col("kind") == "Class", F.col("qualified_name")))).first()
-    return reach.shortest_path(g, ends[0], ends[1], max_depth=4).agg((F.count(F.lit(1)) - 1).alias("length"))
+    return path_length(g, max_depth=4)
 
 
 DIRS = "(SELECT qualified_name q, language, array_to_string(string_split(file_path,'/')[1:2],'/') c FROM nodes)"

@@ -62,3 +62,14 @@ def test_flow_queries_walk_to_depth_ten(spark, tables):
     scores = {r.qualified_name: r.impact_score for r in run["blast_flow_scores"]}
     assert scores.keys() == blast.keys() and any(nodes.get(n, 0) > 2 for n in blast)
     assert all(abs(scores[n] - c * (0.3 if n in nodes else 0.1)) <= 0.0051 for n, c in blast.items())
+
+
+def test_shortest_path_length_beyond_four_steps(spark, tables):
+    folder, _ = tables
+    g = project(spark, folder)
+    edges = {(r.source_qualified, r.target_qualified) for r in g.of_kind("CALLS").collect()}
+    start = min(r.qualified_name for r in g.nodes.filter("kind = 'Function'").collect())
+    end = max(r.qualified_name for r in g.nodes.filter("kind = 'Class'").collect())
+    assert walked(edges, start, 10)[end] == 8
+    assert [r.length for r in queries.QUERIES["shortest_path_length"](spark, folder).collect()] == [8]
+    assert [r.length for r in queries.QUERIES["shortest_path_length_depth4"](spark, folder).collect()] == [-1]
