@@ -194,3 +194,9 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, fit(docs)).withColumn("kept", ~F.col("rejected"))
+
+
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every web page, judged by the model of the documents with the evidence that only pages carry."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return page_languages(pages, fit(documents(spark, sf_dir))).withColumn("kept", ~F.col("rejected"))

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_pii": privacy.op5_pii,
     "op6_language": language.op6_language,
+    "op6_pages": language.op6_pages,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_repeats": repeats.op8_repeats,
     "op9_bpe": tokens.op9_bpe,

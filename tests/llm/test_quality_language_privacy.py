@@ -82,6 +82,17 @@ def test_evidence_decides_where_text_does_not(spark):
     assert (got[1].lang, got[1].declared, got[1].suffix) == ("de", "de", "de") and got[2].lang == "fr" and got[3].rejected
 
 
+def test_op6_pages_judges_the_whole_table_by_markup_and_address(spark, tmp_path):
+    from symloom.llm.queries import QUERIES
+
+    spark.createDataFrame(language_rows(), "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = [(k, f"http://h{k % 3}.example.{'de' if k % 2 else 'fr'}/{k}", f"<html lang='{'de' if k % 2 else 'fr'}'><p>en</p>") for k in range(40)] + [(40, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in QUERIES["op6_pages"](spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(41)) and not got[40].kept
+    assert all((got[k].lang, got[k].declared, got[k].suffix) == (("de" if k % 2 else "fr"),) * 3 for k in range(40))
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
