@@ -31,24 +31,26 @@ CONTEXT, DISCLOSURE = 64, 0.75
 WORD = r"[\p{L}\p{N}]{3,}"
 
 # Each pattern matches what its plain form in the contract matches. Look-behinds keep a failed run from being
-# tried again at each of its characters; \G lets a match begin right after the one before.
+# tried again at each of its characters; \G lets a match begin right after the one before. Repeated groups are
+# possessive, which changes no match here, as what follows a group never begins within it: a repeated group that
+# can give back is matched by recursion, and a long run of digits or of parts of an address ends the stack.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
-    "card": r"[0-9](?:[\x20-]?[0-9]){15,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "phone": "+"}
 
 
 def _luhn(digits: Column) -> Column:
-    turned = F.reverse(digits)
+    turned = F.reverse(F.left(digits, F.lit(19)))
 
     def add(total: Column, i: Column) -> Column:
         d = turned.substr(i, F.lit(1)).cast("int")
         return total + F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) % 10 == 0
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -56,7 +58,7 @@ def _holds(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
     if kind == "card":
-        return F.length(digits).between(16, 19) & _luhn(digits)
+        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(8, 15)
     return F.lit(True)
@@ -65,6 +67,10 @@ def _holds(kind: str, value: Column) -> Column:
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+#: Matches that one step of the fold over a text's matches takes, so that its arrays are copied once a block, not once a match.
+BLOCK = 128
+
+
 def _places(text: Column, pattern: str) -> Column:
     """Matches of a pattern with code-point places: what stands between matches has known lengths."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -76,9 +82,16 @@ def _places(text: Column, pattern: str) -> Column:
         one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["value"].alias("value"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(SPAN))
+
+    def block(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(acc["pairs"], k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out")), step)
+        return F.struct(acc["pairs"].alias("pairs"), done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    first = F.struct(pairs.alias("pairs"), F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), first, block)["out"]
+    few = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+    return F.when(F.size(found) == 0, F.array().cast(SPAN)).when(F.size(found) <= BLOCK, few).otherwise(F.flatten(blocks))
 
 
 def base_spans(kind: str, text: Column) -> Column:
@@ -189,4 +202,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _listed("term")), ",").alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        (F.size(base) > 0).alias("has_personal_data"),
     )
