@@ -7,8 +7,8 @@ share of the rows: the aggregate combines it map-side and the join can be
 split at run time.
 
 Nulls count as empty texts; empty texts equal one another. Of equal texts the
-row with the largest id stays. Rows with the same id and text count each; a
-null id never wins over another. An empty table gives an empty result. Other
+row with the largest id stays. Rows with the same id and text count each (their
+outcomes are equal); a null id never wins over another. An empty table gives an empty result. Other
 columns are ignored.
 """
 
@@ -55,9 +55,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that an equal text with a larger id replaces."""
-    dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+    """``docs`` with one row of each text: that of the largest id, null ids last.
+
+    Rows are dropped by id and text, so another text under the same id stays. Of rows that share both, the one whose
+    other columns come first stays; these columns have to be orderable where that happens.
+    """
+    content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    outcome = exact_dedup(docs, id_col, text_col).filter("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256")
+    outcome = stash(outcome)
+    drop = broadcast_if_small(stash(outcome.filter("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()), 80)
+    twice = broadcast_if_small(stash(outcome.filter("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).count().filter("count > 1").select("id", "sha")), 80)
+
+    def those(df: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        return df.join(listed, df[id_col].eqNullSafe(listed["id"]) & (F.sha2(F.coalesce(df[text_col], F.lit("")).cast("binary"), 256) == listed["sha"]), how)
+
+    left = those(docs, drop, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = those(left, twice, "left_semi").groupBy(F.col(id_col), F.sha2(content, 256)).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return those(left, twice, "left_anti").union(once)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return TextModel(langs, np.array([sums.get(k, np.zeros(SLOTS)) for k in langs], float))
 
 
-def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", declared_col: str | None = None, address_col: str | None = None) -> DataFrame:
+def _row_key(docs: DataFrame, id_col: str, text_col: str, host_col: str | None) -> Column:
+    """A hash of what a row's outcome follows from, besides its id."""
+    return F.xxhash64(docs[text_col].cast("string"), docs[host_col].cast("string") if host_col else F.lit(None), F.lit(id_col))
+
+
+def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", declared_col: str | None = None, address_col: str | None = None, keyed: bool = False) -> DataFrame:
     """(doc_id, n_bytes, lang, probability, text_lang, declared, suffix, rejected) of every row.
 
     ``declared_col``: a column of language codes; without one the markup of the text is looked at.
     ``address_col``: a URL whose host and suffix count; without one ``host_col`` names the host.
+    ``keyed``: also ``key``, a hash of the text and the host, which tells rows of one id apart.
     """
     short_batches(docs.sparkSession)
     langs = model.langs
@@ -124,7 +130,8 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     address = F.regexp_extract(F.lower(F.coalesce(F.col(address_col), F.lit(""))), r"^[a-z]+://([^/:?#]+)", 1) if address_col else F.lit("")
     host = address if address_col else F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     declared = F.lower(F.coalesce(F.col(declared_col), F.lit("")).substr(1, 2)) if declared_col else F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("<")), F.regexp_extract(text, MARKUP, 1)).otherwise("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), host.alias("host"), F.lower(declared).alias("declared"), F.regexp_extract(host, r"\.([a-z]{2,})$", 1).alias("suffix"))
+    key = _row_key(docs, id_col, text_col, host_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), text.alias("text"), host.alias("host"), F.lower(declared).alias("declared"), F.regexp_extract(host, r"\.([a-z]{2,})$", 1).alias("suffix"))
 
     def score(batches):
         for batch in batches:
@@ -134,9 +141,9 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
             # What the text alone says, as shares of the languages; a text without bytes says nothing.
             p = np.exp(TEMPER * (s[:, :-1] - s[:, :-1].max(axis=1, keepdims=True)))
             p = p / p.sum(axis=1, keepdims=True) * np.array([len(t) > 0 for t in texts], float)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("declared"), batch.column("suffix"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(s[:, k], pa.float64()) for k in range(len(names))), *(pa.array(p[:, k], pa.float64()) for k in range(len(langs)))], ["doc_id", "host", "declared", "suffix", "n_bytes", *names, *share])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("host"), batch.column("declared"), batch.column("suffix"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(s[:, k], pa.float64()) for k in range(len(names))), *(pa.array(p[:, k], pa.float64()) for k in range(len(langs)))], ["doc_id", "key", "host", "declared", "suffix", "n_bytes", *names, *share])
 
-    schema = "doc_id long, host string, declared string, suffix string, n_bytes long, " + ", ".join(f"{n} double" for n in [*names, *share])
+    schema = "doc_id long, key long, host string, declared string, suffix string, n_bytes long, " + ", ".join(f"{n} double" for n in [*names, *share])
     scored = stash(rows.mapInArrow(score, schema))
 
     # Grouped aggregation, then smoothing downwards: corpus, suffix, host.
@@ -168,20 +175,22 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
         )
     evidence.append(TEMPER * F.col(names[-1]) + float(np.log(UND_PRIOR)))
     # Written before the shares are taken: a filter on the outcome would otherwise repeat all of this in its condition.
-    fused = stash(scored.join(priors, ["suffix", "host"]).select("doc_id", "n_bytes", "declared", "suffix", *names, *(e.alias(f"e{k}") for k, e in enumerate(evidence))))
+    fused = stash(scored.join(priors, ["suffix", "host"]).select("doc_id", "key", "n_bytes", "declared", "suffix", *names, *(e.alias(f"e{k}") for k, e in enumerate(evidence))))
     best = F.greatest(*(f"e{k}" for k in range(len(names))))
     lang = F.coalesce(*(F.when(F.col(f"e{k}") == best, F.lit(x)) for k, x in enumerate([*langs, "und"])))
     share_of_best = 1 / functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"e{k}") - best) for k in range(len(names))])
     text_best = F.greatest(*names)
     text_lang = F.coalesce(*(F.when(F.col(n) == text_best, F.lit(x)) for n, x in zip(names, [*langs, "und"], strict=True)))
-    out = fused.select("doc_id", "n_bytes", F.when(known, lang).otherwise("und").alias("lang"), F.when(known, share_of_best).otherwise(1.0).alias("probability"), F.when(known, text_lang).otherwise("und").alias("text_lang"), "declared", "suffix")
+    out = fused.select("doc_id", "n_bytes", F.when(known, lang).otherwise("und").alias("lang"), F.when(known, share_of_best).otherwise(1.0).alias("probability"), F.when(known, text_lang).otherwise("und").alias("text_lang"), "declared", "suffix", *(["key"] if keyed else []))
     return out.withColumn("rejected", F.col("lang") == "und")
 
 
 def in_a_language(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source") -> DataFrame:
-    """``docs`` without the documents that language identification rejects."""
-    rejected = identify(docs, model, id_col, text_col, host_col).filter("rejected").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(rejected, id_col, "left_anti")
+    """``docs`` without the documents that language identification rejects; rows of one id are judged each."""
+    found = identify(docs, model, id_col, text_col, host_col, keyed=True)
+    rejected = found.filter("rejected").select(F.col("doc_id").alias("rejected_id"), F.col("key").alias("rejected_key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(rejected["rejected_id"]) & (_row_key(docs, id_col, text_col, host_col) == rejected["rejected_key"])
+    return docs.join(rejected, same, "left_anti")
 
 
 def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
