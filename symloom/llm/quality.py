@@ -12,7 +12,7 @@ line measures reach the driver. Scoring sees a text and nothing else.
 
 Null and empty texts are one line without characters and get a score too.
 Blank lines are left out of a text that has others. Repeated rows and ties are
-scored alike; labels that repeat an id count once, the largest of them. Without
+scored alike, a null id is kept; labels that repeat an id count once, the largest of them. Without
 labels every score is 0.5. Extra columns are ignored; an empty table gives an
 empty result. Very long texts are one sequence, however many lines they have.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, ids_of, mix, prefix_hash, short_batches, texts_of, window_hash
+from .shared import documents, mix, prefix_hash, short_batches, texts_of, window_hash
 
 #: Bound of the labelled sample, steps of its fit and weight of the squared-norm penalty.
 FIT_ROWS, STEPS, PENALTY = 2000, 250, 1e-3
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 better = np.add.reduceat((good >= 0.5).astype(np.int64), at)
             else:
                 scores, counts, better = np.full(len(texts), 0.5), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch), pa.int64()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(better, pa.int64())], ["doc_id", "score", "n_lines", "good_lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(better, pa.int64())], ["doc_id", "score", "n_lines", "good_lines"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_lines long, good_lines long")
 

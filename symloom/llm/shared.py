@@ -119,4 +119,5 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False)
+    """Ids that are not null, as 64-bit integers; operators that keep null ids pass the column itself on."""
+    return batch.column(name).cast(pa.int64()).to_numpy(zero_copy_only=True)

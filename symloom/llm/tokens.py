@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents, ids_of, short_batches
+from .shared import documents, short_batches
 
 BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 #: Pre-token pattern of the byte-level vocabulary (a fixed value of its public format).
@@ -237,7 +237,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ids = encoder.encode(text)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoder.decode(ids).encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -445,7 +445,7 @@ def edited_counts(docs: DataFrame, edits_of=standard_edits, id_col: str = "doc_i
                     tree.apply(edits)
                 rows.append((before, len(edits), tree.total, tree.n_pretokens, tree.encoded))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch), pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
