@@ -4,10 +4,12 @@
 in the chain end it), undoes PackBits, LZW or deflate of strips or tiles, undoes
 the horizontal predictor (2) and the floating-point predictor (3), and yields
 one page per directory. ``tiff_pages`` does so for a binary column and emits one
-row per page; bytes that are no TIFF, or a page that cannot be decoded, give
-one row with ``error`` set, never a crash. Null media count as empty bytes.
-Equal bytes give equal rows; every row of the table is kept, repeated ids
-too; other columns are ignored; an empty table gives an empty result.
+row per page; bytes that are no TIFF, or a directory that cannot be read, give
+one row with ``error`` set, a page that cannot be decoded gives one in its
+place and the pages behind it follow, never a crash. Null media count as empty
+bytes. Equal bytes give equal rows; every row of the table is kept, repeated
+and null ids too; other columns are ignored; an empty table gives an empty
+result. Texts are stored over as many pages as they need.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents, ids_of, short_batches, texts_of
+from .shared import documents, short_batches, texts_of
 
 # Fixed values of the TIFF 6.0 format: tags and field sizes by type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
@@ -255,8 +257,12 @@ def _page(data: bytes, number: int, tags: dict[int, tuple], order: str) -> Page:
     return Page(number, width, height, bits, samples, packing, predictor, tiled, out.tobytes())
 
 
-def decode_tiff(data: bytes) -> Iterator[Page]:
-    """One page per image directory, in the order of their chain."""
+#: What reading bytes that are no valid TIFF, or no supported one, may raise.
+UNREADABLE = (ValueError, TypeError, struct.error, zlib.error, KeyError, IndexError, OverflowError, MemoryError)
+
+
+def walk_tiff(data: bytes) -> Iterator[Page | Exception]:
+    """One page per image directory, in the order of their chain; an error in place of a page that cannot be decoded."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise ValueError("not a TIFF")
@@ -265,10 +271,22 @@ def decode_tiff(data: bytes) -> Iterator[Page]:
     while at and at not in seen:
         seen.add(at)
         tags, at = _directory(data, at, order)
-        yield _page(data, number, tags, order)
+        try:
+            page = _page(data, number, tags, order)
+        except UNREADABLE as e:
+            page = e
+        yield page
         number += 1
 
 
+def decode_tiff(data: bytes) -> Iterator[Page]:
+    """The pages of ``walk_tiff``; the first error is raised."""
+    for page in walk_tiff(data):
+        if isinstance(page, Exception):
+            raise page
+        yield page
+
+
 def encode_tiff(images: list[np.ndarray], compression: int = ADOBE_DEFLATE, predictor: int = 1, tile: int = 0, rows_per_strip: int = 512) -> bytes:
     """8-bit grey images (rows x columns), little-endian; ``tile``: side of the tiles (a multiple of 16), 0 for strips."""
     out = bytearray(b"II*\0\0\0\0\0")
@@ -332,9 +350,9 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             rows = []
             for i, data in zip(batch.column("id").to_pylist(), texts_of(batch, "media"), strict=True):
                 try:
-                    for p in decode_tiff(data):
-                        rows.append((i, p.page, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None))
-                except (ValueError, struct.error, zlib.error, KeyError, IndexError, MemoryError) as e:
+                    for k, p in enumerate(walk_tiff(data)):
+                        rows.append((i, k, *[None] * 8, f"{type(p).__name__}: {p}") if isinstance(p, Exception) else (i, k, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None))
+                except UNREADABLE as e:
                     rows.append((i, *[None] * 9, f"{type(e).__name__}: {e}"))
             columns = list(zip(*rows, strict=True)) or [()] * 11
             kinds = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
@@ -344,18 +362,18 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     return df.select(df[id_col].cast("long").alias("id"), df[media_col].cast("binary").alias("media")).mapInArrow(decode, PAGES)
 
 
-#: How payloads are stored: a byte of their SHA-256 picks the packing, so equal texts are stored equally.
-#: (below this value of the byte, compression, predictor, tile side); LZW has a small share, being the slowest to write in Python.
-LAYOUTS = ((4, LZW, 1, 0), (8, LZW, 2, 64), (48, PACKBITS, 1, 0), (64, PACKBITS, 2, 64), (160, ADOBE_DEFLATE, 1, 0), (208, ADOBE_DEFLATE, 2, 64), (256, DEFLATE, 2, 0))
-ROW = 64
+#: How payloads are stored: the SHA-256 picks one of these (compression, predictor, tile side), so equal texts are stored equally.
+LAYOUTS = ((LZW, 1, 0), (ADOBE_DEFLATE, 2, 64), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, 64), (ADOBE_DEFLATE, 1, 0), (PACKBITS, 2, 64), (DEFLATE, 1, 16))
+#: Samples of a row and rows of a page of stored payloads.
+ROW, PAGE_ROWS = 64, 512
 
 
 def store_payload(text: bytes) -> bytes:
-    """The text, padded with zero bytes to a positive multiple of 64, as a grey image of 64 columns."""
+    """The text, padded with zero bytes to a positive multiple of 64, as grey images of 64 columns, one page after another."""
     payload = text + b"\0" * (-len(text) % ROW or (0 if text else ROW))
-    pick = hashlib.sha256(payload).digest()[0]
-    _, compression, predictor, tile = next(x for x in LAYOUTS if pick < x[0])
-    return encode_tiff([np.frombuffer(payload, np.uint8).reshape(-1, ROW)], compression, predictor, tile)
+    compression, predictor, tile = LAYOUTS[hashlib.sha256(payload).digest()[0] % len(LAYOUTS)]
+    image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    return encode_tiff([image[k : k + PAGE_ROWS] for k in range(0, len(image), PAGE_ROWS)], compression, predictor, tile, rows_per_strip=128)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +385,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for batch in batches:
             rows = []
-            for i, text in zip(ids_of(batch).tolist(), texts_of(batch), strict=True):
+            for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 media = store_payload(text)
                 read = b"".join(p.pixels for p in decode_tiff(media))
                 rows.append((i, len(text), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), hashlib.sha256(media).hexdigest(), page_feature(read)))
