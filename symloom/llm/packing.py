@@ -9,7 +9,7 @@ one. A shard is bounded whatever the table's size, and nothing but lengths is
 shuffled.
 
 Null and empty texts are one piece holding the end id alone. Repeated rows and
-ids are packed each; ties go by id and piece. Texts longer than a sequence, and
+ids, and null ids, are packed each; ties go by id and piece. Texts longer than a sequence, and
 only they, are cut. Other columns are ignored; an empty table gives none.
 """
 
@@ -22,17 +22,18 @@ import unicodedata
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, ids_of, short_batches, stash
+from .shared import documents, short_batches, stash
 from .tokens import _L, _N, WORD_BPE, Cache, pack, public_path, tokenizer
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard, and the share of a sequence below which a bin is dealt again.
 SHARD, FULL = 16_384, 0.98
+#: Words whose ids a worker keeps at hand; it costs time only.
+CACHE_WORDS = 200_000
 
 #: The vocabulary's pattern of words, with the letters and numbers up to U+024F spelled out; others go to the library.
 _LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
@@ -81,7 +82,7 @@ def word_encoder(path: str):
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         return b"".join([id_of[r] for word in _LATIN_WORD.findall(text.lower()) for r in fast(word.encode() + b"\xff")])
 
-    return Cache(encode, 600_000)
+    return Cache(encode, CACHE_WORDS)
 
 
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -105,7 +106,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for i, text in zip(ids_of(batch).tolist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = word_ids(text or "", encoder) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -152,57 +153,39 @@ class Bins:
                     bisect.insort(rooms, left)
                 by_room[left].append(b)
 
-    def exchange(self, passes: int = 8, width: int = 64) -> None:
-        """Empties the emptiest eighth of the bins into other underfull ones; every step raises the sum of squared fills.
+    def exchange(self) -> None:
+        """Empties bins, emptiest first, into all others that have room, until no exchange raises the sum of squared fills or no packing has fewer bins.
 
-        ``width``: underfull bins, fullest first, that an item of an emptier bin is held against; the limit
-        bounds the time of a shard and loses nothing but a denser packing.
+        An item moves, or goes for a smaller item, for two that are together smaller, or with another item of its bin
+        for one larger item. Of all bins at least as full the one is taken that it leaves least room in.
         """
         least = -(-sum(self.lengths) // self.capacity)
-        for _ in range(passes):
-            if sum(1 for f in self.fill if f) <= least:
-                return  # as few bins as any packing has
-            under = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
+        used, changed = sum(1 for f in self.fill if f), True
+        while changed and used > least:
             changed = False
-            for a in under[: max(16, len(under) // 8)]:
-                others = [b for b in reversed(under) if b != a and self.fill[b] >= self.fill[a] and 0 < self.fill[b] < self.capacity][:width]
-                for i in sorted(self.items[a], key=lambda i: -self.lengths[i]):
-                    if i in self.items[a] and any(self._improve(a, i, b) for b in others if self.fill[b] >= self.fill[a]):
+            partners = _Partners(self)
+            for a in partners.order:
+                for i in sorted(self.items[a], key=lambda i: (-self.lengths[i], i)):
+                    if i in self.items[a] and self._improve(a, i, partners):
                         changed = True
-            if not changed:
-                return
-
-    def _improve(self, a: int, i: int, b: int) -> bool:
-        n, room = self.lengths[i], self.capacity - self.fill[b]
-        if n <= room:
-            return self._swap(a, [i], b, [])
-        if not room:
+                if not self.items[a]:
+                    used -= 1
+                    if used <= least:
+                        return  # as few bins as any packing has
+
+    def _improve(self, a: int, i: int, partners: "_Partners") -> bool:
+        mine = [j for j in self.items[a] if j != i]
+        n = np.array([self.lengths[i], *(self.lengths[i] + self.lengths[j] for j in mine)])
+        found = partners.best(a, self.fill[a], n)
+        if found is None:
             return False
-        # One for one, then one for two: what leaves b is as much smaller than i as its room allows.
-        mine = sorted(self.items[b], key=lambda j: self.lengths[j])
-        sizes = [self.lengths[j] for j in mine]
-        k = bisect.bisect_left(sizes, n - room)
-        if k < len(sizes) and sizes[k] < n:
-            return self._swap(a, [i], b, [mine[k]])
-        lo, hi, best = 0, len(sizes) - 1, None
-        while lo < hi:
-            both = sizes[lo] + sizes[hi]
-            if both < n - room:
-                lo += 1
-            else:
-                if both < n and (best is None or both < best[0]):
-                    best = both, lo, hi
-                hi -= 1
-        if best:
-            return self._swap(a, [i], b, [mine[best[1]], mine[best[2]]])
-        # Two for one: i and another item of a for one larger item of b.
-        for j in self.items[a]:
-            if j != i:
-                both = n + self.lengths[j]
-                k = bisect.bisect_left(sizes, both - room)
-                if k < len(sizes) and sizes[k] < both:
-                    return self._swap(a, [i, j], b, [mine[k]])
-        return False
+        which, b, take = found
+        give = [i] if which == 0 else [i, mine[which - 1]]
+        done = self._swap(a, give, b, take)
+        if done:
+            partners.update(a)
+            partners.update(b)
+        return done
 
     def _swap(self, a: int, give: list[int], b: int, take: list[int]) -> bool:
         gain = sum(self.lengths[i] for i in give) - sum(self.lengths[i] for i in take)
@@ -219,6 +202,64 @@ class Bins:
         return True
 
 
+class _Partners:
+    """What bins that have room can give for an item: nothing, one of their items, or two of them, as flat arrays."""
+
+    def __init__(self, bins: Bins):
+        self.bins = bins
+        self.order = sorted((b for b in range(len(bins.items)) if 0 < bins.fill[b] < bins.capacity), key=lambda b: (bins.fill[b], b))
+        self.offers = {b: self._of(b) for b in self.order}
+        self._flatten()
+
+    def _of(self, b: int) -> list[tuple[int, ...]]:
+        """Offers of a bin by different sums: (sum, items)."""
+        items, lengths = self.bins.items[b], self.bins.lengths
+        by_sum: dict[int, tuple[int, ...]] = {0: ()}
+        for k, i in enumerate(items):
+            by_sum.setdefault(lengths[i], (i,))
+            for j in items[k + 1 :]:
+                by_sum.setdefault(lengths[i] + lengths[j], (i, j))
+        return list(by_sum.items())
+
+    def _flatten(self) -> None:
+        live = [b for b in self.order if self.bins.fill[b]]
+        self.bin = np.repeat(np.array(live, np.int64), [len(self.offers[b]) for b in live])
+        self.sum = np.array([s for b in live for s, _ in self.offers[b]], np.int64)
+        self.items = [x for b in live for _, x in self.offers[b]]
+        self.one = np.fromiter(map(len, self.items), np.int64, len(self.items)) == 1
+        self.fill = np.array(self.bins.fill, np.int64)
+        self.stale: set[int] = set()
+
+    def update(self, b: int) -> None:
+        """Offers of a changed bin are looked at again when many have changed; until then the bin makes none."""
+        if b in self.offers:
+            self.offers[b] = self._of(b)
+            self.stale.add(b)
+            self.fill[b] = self.bins.capacity + 1
+            if len(self.stale) > 64:
+                self._flatten()
+
+    def best(self, a: int, fill: int, n: np.ndarray):
+        """(which of the sums ``n`` to give, bin, its items to take) that fills a bin most, or none."""
+        for again in (False, True):
+            if again:
+                if not self.stale:
+                    return None
+                self._flatten()
+            # A bin gains n - sum; it has to have the room and to be as full as ``a`` at least, so that squares rise.
+            own = self.fill[self.bin]
+            room = self.bins.capacity - own
+            fits = (self.bin != a) & (own >= fill) & (own <= self.bins.capacity)
+            for which, total in enumerate(n.tolist()):
+                gain = total - self.sum
+                # Two items go for one only: other offers of two for two or for none are moves of their own.
+                able = fits & (gain > 0) & (gain <= room) & (self.one if which else True)
+                if able.any():
+                    k = int(np.argmin(np.where(able, room - gain, self.bins.capacity + 1)))
+                    return which, int(self.bin[k]), list(self.items[k])
+        return None
+
+
 def pack_shard(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
     """(bin, offset, fill of the bin) of each item."""
     bins = Bins(lengths, capacity)
@@ -233,39 +274,47 @@ def pack_shard(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _solver(names: list[str], round_: int, capacity: int):
-    """Packs one shard of a round."""
+def _solver(schema: pa.Schema, round_: int, capacity: int):
+    """Packs one shard of a round; ties go by id (nulls last), piece and content."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([n for n in ("doc_id", "piece", "ids_crc32") if n in names], kind="stable")
-        placed = pack_shard(pdf["length"].tolist(), capacity)
-        base = (round_ << 56) + (int(pdf["shard"].iloc[0]) << 20)
-        return pdf[names].assign(sequence_id=[base + b for b, _, _ in placed], offset=[o for _, o, _ in placed], fill=[f for _, _, f in placed])
+    def solve(table: pa.Table) -> pa.Table:
+        keys = [(n, "ascending") for n in ("doc_id", "piece", "ids_crc32") if n in schema.names]
+        table = table.sort_by(keys)
+        placed = pack_shard(table.column("length").to_pylist(), capacity)
+        base = (round_ << 56) + (table.column("shard")[0].as_py() << 20)
+        columns = [table.column(n) for n in schema.names]
+        return pa.table([*columns, *(pa.array(x, pa.int64()) for x in ([base + b for b, _, _ in placed], [o for _, o, _ in placed], [f for _, _, f in placed]))], names=[*schema.names, "sequence_id", "offset", "fill"])
 
     return solve
 
 
 def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, full: float = FULL) -> DataFrame:
-    """``parts`` (with doc_id, piece, length) with sequence_id and offset."""
+    """``parts`` (with doc_id, piece, length) with sequence_id and offset.
+
+    What is in underfull bins is dealt and packed again, until it is one shard or a round has not saved a bin.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     names = [f.name for f in parts.schema]
+    arrow = to_arrow_schema(parts.schema)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long, fill long"
-    left, done, round_ = stash(parts), None, 0
+    left, done, round_, bins = stash(parts), None, 0, None
     while True:
         n = left.count()
         shards = max(1, -(-n // shard_size))
-
         dealt = left.select(*names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(shards)).alias("shard"))
-        packed = dealt.groupBy("shard").applyInPandas(_solver(names, round_, capacity), schema)
+        packed = dealt.groupBy("shard").applyInArrow(_solver(arrow, round_, capacity), schema)
         if shards == 1:
             packed = packed.drop("fill")
             return packed if done is None else done.unionByName(packed)
         packed = stash(packed)
         whole = packed.filter(F.col("fill") >= int(capacity * full)).drop("fill")
+        open_ = packed.filter(F.col("fill") < int(capacity * full))
+        now = open_.filter("offset = 0").count()
         done = whole if done is None else done.unionByName(whole)
-        left = packed.filter(F.col("fill") < int(capacity * full)).select(*names)
-        if left.count() > 0.9 * n:  # mostly bins that nothing fits into: dealing again gains little
-            return packed.drop("fill") if round_ == 0 else done.unionByName(packed.filter(F.col("fill") < int(capacity * full)).drop("fill"))
-        round_ += 1
+        if bins is not None and now + whole.filter("offset = 0").count() >= bins:
+            return done.unionByName(open_.drop("fill"))
+        left, bins, round_ = open_.select(*names), now, round_ + 1
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
