@@ -19,6 +19,9 @@ bytes for about 120 windows). In a bucket,
 A bucket with more than ``WIDE`` different strips is not sorted in one task: its
 windows are dealt out by their own hash, combined map-side.
 
+``passages`` applies the same steps to words: a text becomes the sequence of
+its words' 32-bit hashes, in which a window of 4 * n bytes is one of n words.
+
 Null counts as an empty text. Texts shorter than the window repeat nothing.
 Equal rows count as each other's copies and give equal results; rows that
 share an id but not the text are kept apart. Extra columns are ignored; an
@@ -38,7 +41,9 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, documents, mix, n_buckets, packed_rows, prefix_hash, short_batches, stash, texts_of, window_hash
 
-LENGTH, ANCHOR, GRAM = 400, 160, 24
+LENGTH, GRAM = 400, 24
+#: Words of a passage whose repetition ``op8_repeats`` reports besides the contract's bytes.
+PASSAGE_WORDS = 50
 PIECE = 1 << 19
 BUCKET_BYTES, STRIP_BYTES, WIDE = 16 << 20, 8 << 20, 4096
 #: A perfect difference set (Singer): every residue mod 57 is a difference of two of its members.
@@ -61,8 +66,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(pieces: list[tuple[int, int, int, bytes]], length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
-    """Records of the anchors of (doc, text hash, place, bytes) pieces, all together shorter than 2 ** 20 bytes."""
+def anchors(pieces: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> np.ndarray:
+    """Records of the anchors of (doc, text hash, place, bytes) pieces, all together shorter than 2 ** 20 bytes.
+
+    An anchor is two fifths of a window long: longer ones name smaller buckets, shorter ones are fewer.
+    """
+    anchor = 2 * length // 5
     pieces = [p for p in pieces if len(p[3]) >= length]
     if not pieces:
         return np.empty(0, ANCHORED)
@@ -297,7 +306,7 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_texts(rows: DataFrame, packed: DataFrame, how: str) -> DataFrame:
     """``rows`` joined with one packed row per document; broadcast if its size, which is checked, allows it."""
-    size = packed.agg(F.sum(F.octet_length("packed") + 40)).first()[0] or 0
+    size = packed.agg(F.sum(F.coalesce(F.octet_length("packed"), F.lit(0)) + 40)).first()[0] or 0
     return rows.join(F.broadcast(packed) if size <= BROADCAST_BYTES else packed, ["doc", "th"], how)
 
 
@@ -417,19 +426,66 @@ def _wide(texts: DataFrame, length: int, n: int) -> DataFrame:
     return texts.mapInArrow(deal, "bucket long, windows binary, spans binary").groupBy("bucket").applyInArrow(meet, "doc long, th long, lo long, n long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", wide_from: int = WIDE) -> DataFrame:
-    """(doc_id, text, packed): ``packed`` has the maximal repeated runs of a document as little-endian (start, end) pairs, or is null."""
-    short_batches(docs.sparkSession)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, th, text): ``doc`` and ``th``, a hash of the text, name a row's text also where ids are null or repeat."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), text.alias("text"))
+
+
+def _packed_spans(rows: DataFrame, length: int, wide_from: int = WIDE) -> DataFrame:
+    """(doc, th, packed) of the texts of ``rows`` (doc, th, text) that hold a repeated window."""
     n = n_buckets(rows, "text", BUCKET_BYTES)
     found = stash(_first_pass(rows, length, n, wide_from))
     spans = found.filter("key IS NULL").select("doc", "th", "lo", "n")
     more = _second_pass(rows, found, length, n)
     if more is not None:
         spans = spans.union(more)
-    packed = stash(_per_document(spans, _pack_spans, n))
-    return _with_texts(rows, packed, "left").select("doc_id", "text", "packed")
+    return stash(_per_document(spans, _pack_spans, n))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", wide_from: int = WIDE) -> DataFrame:
+    """(doc_id, text, packed): ``packed`` has the maximal repeated runs of a document as little-endian (start, end) pairs, or is null."""
+    short_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    return _with_texts(rows, _packed_spans(rows, length, wide_from), "left").select("doc_id", "text", "packed")
+
+
+def word_stream(texts: list[bytes]) -> list[bytes]:
+    """The 32-bit hashes of each text's words (runs without ASCII white space), little-endian."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = (data == 0x20) | (data >= 0x09) & (data <= 0x0D)
+    edge = np.diff(np.r_[True, space, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    words = window_hash(prefix_hash(data), starts, ends).astype("<u4")
+    limits = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    return [words[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+
+
+def _repeating_passages(rows: DataFrame, words: int) -> DataFrame:
+    """(doc, th) of the texts of ``rows`` with a passage of ``words`` words or more that starts anywhere else too."""
+
+    def streams(batches):
+        for batch in batches:
+            out, part, size = [], [], 0
+            for t in texts_of(batch):
+                part.append(t)
+                size += len(t)
+                if size > 1 << 20:
+                    out += word_stream(part)
+                    part, size = [], 0
+            out += word_stream(part) if part else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(out, pa.binary())], ["doc", "th", "text"])
+
+    streamed = stash(rows.select("doc", "th", "text").mapInArrow(streams, "doc long, th long, text binary"))
+    return _packed_spans(streamed, 4 * words).select("doc", "th")
+
+
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, repeats_passage) of every row: whether ``words`` words in a row occur anywhere else, white space aside."""
+    short_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    marked = _repeating_passages(rows, words).withColumn("repeats_passage", F.lit(True))
+    return rows.select("doc_id", "doc", "th").join(marked, ["doc", "th"], "left").select("doc_id", F.coalesce("repeats_passage", F.lit(False)).alias("repeats_passage"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,13 +513,21 @@ def _rest(text: bytes, spans: list[list[int]]) -> bytes:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what is left of every text, and whether it holds a repeated passage of PASSAGE_WORDS words or more."""
+    short_batches(spark)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_passage"]
+
     def digest(batches):
         for batch in batches:
             out = []
-            for text, raw in zip(texts_of(batch), batch.column("packed").to_pylist(), strict=True):
+            for text, raw, marked in zip(texts_of(batch), batch.column("packed").to_pylist(), batch.column("marked").to_pylist(), strict=True):
                 spans = np.frombuffer(raw or b"", "<i8").reshape(-1, 2).tolist()
-                out.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_rest(text, spans)).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return repeated_spans(documents(spark, sf_dir)).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                out.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_rest(text, spans)).hexdigest(), bool(marked)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    rows = _rows(documents(spark, sf_dir), "doc_id", "text")
+    marked = _repeating_passages(rows, PASSAGE_WORDS).withColumn("marked", F.lit(True))
+    side = stash(_packed_spans(rows, LENGTH).join(marked, ["doc", "th"], "full"))
+    return _with_texts(rows, side, "left").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean")
