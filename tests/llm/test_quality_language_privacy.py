@@ -116,6 +116,49 @@ def test_base_spans_equal_the_plain_patterns(spark, rows):
         assert got == plain_spans(r.text), r.text[:200]
 
 
+def brute_terms(texts):
+    """Places of disclosing terms by document, from the definition: co-occurrence counts over all documents."""
+    word = re.compile(r"[^\W_]{3,}")
+    found = {i: plain_spans(t) for i, t in texts.items()}
+    near = []
+    for i, t in texts.items():
+        for span in found[i]:
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            entity = f"{kind}:{t[a:b].lower()}"
+            lo = max(0, a - privacy.CONTEXT)
+            near += [(i, entity, m[0].lower(), lo + m.start(), lo + m.end()) for m in word.finditer(t[lo:a]) if m.start() > 0 or lo == 0]
+            near += [(i, entity, m[0].lower(), b + m.start(), b + m.end()) for m in word.finditer(t[b : b + privacy.CONTEXT]) if m.end() < privacy.CONTEXT]
+    near = [x for x in near if not re.fullmatch("[0-9]+", x[2])]
+    n = len(texts)
+    n_entity, n_both, n_term = {}, {}, {}
+    for e in {x[1] for x in near}:
+        n_entity[e] = len({x[0] for x in near if x[1] == e})
+    for e, t in {(x[1], x[2]) for x in near}:
+        n_both[e, t] = len({x[0] for x in near if (x[1], x[2]) == (e, t)})
+        n_term[t] = sum(t in re.split(r"[\W_]+", u.lower()) for u in texts.values())
+    out = {i: set() for i in texts}
+    for i, e, t, a, b in near:
+        ic, pmi = math.log2(n / n_entity[e]), math.log2(n * n_both[e, t] / (max(n_term[t], n_both[e, t]) * n_entity[e]))
+        if n_term[t] and ic > 0 and pmi >= privacy.DISCLOSURE * ic - 1e-12:
+            out[i].add((a, b))
+    return out
+
+
+def test_term_spans_equal_the_definition(spark):
+    rng = random.Random(12)
+    vocabulary = [words(rng, 1) for _ in range(60)]
+    mails = [f"u{k}@host{k}.example.org" for k in range(5)] + ["10.0.0.7", "+49 30 1234567"]
+    texts = {}
+    for k in range(60):
+        parts = rng.choices(vocabulary, k=rng.randint(0, 14))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            parts.insert(rng.randint(0, len(parts)), rng.choice(mails))
+        texts[k] = " ".join(parts)
+    got = {r.doc_id: {(s.start, s.end) for s in r.term} for r in privacy.personal_data(frame(spark, list(texts.items()))).collect()}
+    assert got == brute_terms(texts) and sum(map(bool, got.values())) > 10
+
+
 def test_terms_that_reveal_an_entity(spark, docs, rows, nothing):
     found = privacy.personal_data(docs)
     got = {r.doc_id: r for r in found.collect()}
@@ -136,11 +179,16 @@ def test_terms_of_an_entity_in_one_document_of_deduplicated_ones(spark):
     assert got[41].new == "common words  [EMAIL] stand here" and all(r.new == r.text for k, r in got.items() if k != 41)
 
 
-def test_op5_digest(spark, tmp_path, docs):
+def test_op5_digest(spark, tmp_path, docs, rows):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in privacy.op5_pii(spark, str(tmp_path)).collect()}
-    assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and (got[18].n_email, got[18].n_ip, got[18].n_card, got[18].n_phone) == (2, 1, 1, 1)
-    assert got[18].spans.startswith("email:5:24,email:29:48,ip:")
+    got = sorted((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone, r.has_personal_data) for r in privacy.op5_pii(spark, str(tmp_path)).collect())
+    want = []
+    for i, text in rows:
+        spans = plain_spans(text or "")
+        want.append((i, hashlib.sha256(",".join(spans).encode()).hexdigest(), *(sum(s.startswith(k) for s in spans) for k in privacy.KINDS), bool(spans)))
+    assert got == sorted(want)
+    listed = {r.doc_id: r.spans.split(",") for r in privacy.op5_pii(spark, str(tmp_path)).collect()}
+    assert [s for s in listed[18] if not s.startswith("term")] == plain_spans(dict(rows)[18])
 
 
 def test_pipeline_on_a_small_folder(spark, tmp_path):
