@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -21,30 +22,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the memory of a Python worker by the length of Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the memory of a Python worker by the length of Arrow batches; a session that has shorter ones keeps them.
+
+    The setting is read when a plan runs, after the operator has returned, so it stays for the session. It changes
+    how many rows a worker gets at once, never a result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of its own only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.symloom.scratch", None)
-    if not root:
-        root = f"file:///tmp/symloom-{uuid.uuid4().hex}"
-        spark.conf.set("spark.symloom.scratch", root)
-        atexit.register(_drop, spark, root)
+    """A folder of this application in ``spark.checkpoint.dir``, removed when the process ends.
+
+    Only a local session may do without that setting and then has a folder in /tmp; on a cluster executors would
+    not see each other's files there.
+    """
+    root = spark.conf.get("spark.symloom.corpus", None)
+    if root:
+        return root
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    root = f"{shared or 'file:///tmp'}/symloom-corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    spark.conf.set("spark.symloom.corpus", root)
+    atexit.register(discard, spark, root)
     return root
 
 
-def _drop(spark: SparkSession, root: str) -> None:
-    import shutil
-
-    shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder by the file system that Spark uses for it."""
+    with contextlib.suppress(Exception):  # the session may be gone; what is left is a temporary folder
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/symloom/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -147,7 +147,7 @@ def brute_terms(texts):
 
 def test_term_spans_equal_the_definition(spark):
     rng = random.Random(12)
-    vocabulary = [words(rng, 1) for _ in range(60)]
+    vocabulary = [words(rng, 1) for _ in range(400)]
     mails = [f"u{k}@host{k}.example.org" for k in range(5)] + ["10.0.0.7", "+49 30 1234567"]
     texts = {}
     for k in range(60):
