@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm import exact_dedup, language, ngram_join, packing, privacy
-from symloom.llm.shared import documents, scratch_root
+from symloom.llm.shared import discard, documents, scratch_root
 
 #: SQL cannot express language models, signature trees and tokenizers.
 ORACLE_SQL = None
@@ -58,10 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage has read goes."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES:
-        path = f"{scratch_root(spark)}/symloom/{uuid.uuid4().hex}"
+        path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

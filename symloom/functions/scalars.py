@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def normalize_params(c: Column | str) -> Column:
-    """White space collapsed, none inside brackets or before them, no trailing comma, unused-name marks dropped."""
+    """White space collapsed, none inside brackets or before them, no trailing comma, marks of unused names dropped.
+
+    Fixed values: a mark is one underscore before a letter, behind an opening bracket or a comma; white space between goes too.
+    """
     c = F.col(c) if isinstance(c, str) else c
     c = F.regexp_replace(c, r"\s+", " ")
-    c = F.regexp_replace(c, r"([({\[,]\s*)_", "$1")
+    c = F.regexp_replace(c, r"([({\[,])\s*_([a-zA-Z])", "$1$2")
     c = F.regexp_replace(c, r",\s*([)}\]])", "$1")
     c = F.regexp_replace(c, r"([({\[])\s+", "$1")
     return F.trim(F.regexp_replace(c, r"\s+([)}\]])", "$1"))
@@ -27,8 +30,8 @@ def identifiers(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
 
 
-#: Marks of test files, taken off one after the other (fixed values: usual naming of test files).
-TEST_MARKS = (r"\.test$", r"\.spec$", r"_test$", r"_spec$", r"^test_", r"^spec_", r"Test$", r"Tests$", r"Spec$", r"^Test(?=[A-Z])")
+#: Marks of test files, taken off one after the other.
+TEST_MARKS = (r"_spec$", r"_test$", r"^test_", r"\.test$", r"\.spec$", r"-test$", r"-spec$", r"^spec_", r"Test$", r"Spec$")
 
 
 def file_stem(path: Column | str) -> Column:

@@ -180,11 +180,17 @@ def applicable_contracts(diffs: DataFrame, nodes: DataFrame, capabilities: DataF
 
 
 def outline(graph: CodeGraph, exported_only: bool = False) -> DataFrame:
-    """Symbols with the class of their file that holds them (by name and lines), and their calls in and out."""
-    classes = graph.nodes.filter(F.col("kind").isin("Class", "Interface")).select("file_path", F.col("name").alias("parent_name"), F.col("qualified_name").alias("owner"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    rows = graph.nodes.filter("coalesce(is_exported, true)") if exported_only else graph.nodes
-    held = rows.join(classes, ["file_path", "parent_name"], "left").withColumn("owner", F.when((F.col("a") <= F.col("line_start")) & (F.col("line_end") <= F.col("b")), F.col("owner")))
-    held = held.groupBy("qualified_name", "kind", "name", "file_path", "line_start", "line_end").agg(F.min("owner").alias("owner"))
+    """Symbols with the class of their file that holds them (by name and lines), and their calls in and out.
+
+    ``exported_only``: symbols whose export is not known go as well; members stay with a holder that stays.
+    """
+    holders = graph.nodes.filter(F.col("kind").isin("Class", "Interface", "Enum")).select("file_path", F.col("name").alias("parent_name"), F.col("qualified_name").alias("owner"), F.col("line_start").alias("a"), F.col("line_end").alias("b"), F.coalesce("is_exported", F.lit(False)).alias("shown"))
+    fits = F.col("kind").isin("Method", "Constructor") & (F.col("a") <= F.col("line_start")) & (F.col("line_end") <= F.col("b"))
+    held = graph.nodes.join(holders, ["file_path", "parent_name"], "left")
+    held = held.groupBy("qualified_name", "kind", "name", "file_path", "line_start", "line_end").agg(F.min(F.when(fits, F.struct("a", "b", "owner", "shown"))).alias("held"), F.max(F.coalesce("is_exported", F.lit(False))).alias("exported"))
+    if exported_only:
+        held = held.filter(F.col("exported") & F.coalesce("held.shown", F.lit(True)))
+    held = held.select("qualified_name", "kind", "name", "file_path", "line_start", "line_end", F.col("held.owner").alias("owner"))
     calls = graph.of_kind("CALLS")
     fan = [calls.groupBy(F.col(c).alias("qualified_name")).agg(F.count(F.lit(1)).alias(n)) for c, n in (("target_qualified", "fan_in"), ("source_qualified", "fan_out"))]
     return held.join(fan[0], "qualified_name", "left").join(fan[1], "qualified_name", "left").fillna(0, ["fan_in", "fan_out"])

@@ -68,8 +68,12 @@ def parse(spark: SparkSession, root: str, files: list[str] | None = None, includ
     return graph_of_files(discovery.discover(spark, root, files, include, exclude, max_files, allow_partial), manifest_of(root), noise_names=noise.noise_table(spark))
 
 
-def update(graph: CodeGraph, files: DataFrame, manifest: dict | None = None) -> CodeGraph:
-    """The graph after ``files``, the sources as they are now: only added and modified ones are read again."""
+def update(graph: CodeGraph, files: DataFrame, manifest: dict | None = None, noise_names: DataFrame | None = None) -> CodeGraph:
+    """The graph after ``files``, the sources as they are now: only added and modified ones are read again.
+
+    Names that make no edges are those of ``parse``, unless others are given, so that calls of read files are
+    resolved as a full build resolves them.
+    """
     stored = graph.nodes.groupBy("file_path").agg(F.max("file_hash").alias("file_hash"))
     status = cut(changes.classify_files(stored, files.select("file_path", "file_hash")))
     stale = status.filter("status <> 'unchanged'")
@@ -77,7 +81,8 @@ def update(graph: CodeGraph, files: DataFrame, manifest: dict | None = None) ->
         return graph
     fresh = files.join(status.filter("status IN ('added', 'modified')"), "file_path", "left_semi")
     rest = CodeGraph(graph.nodes.join(stale, "file_path", "left_anti"), graph.edges.join(stale, "file_path", "left_anti"))
-    return changes.merge(graph, graph_of_files(fresh, manifest, rest), stale.select("file_path"))
+    names = noise.noise_table(files.sparkSession) if noise_names is None else noise_names
+    return changes.merge(graph, graph_of_files(fresh, manifest, rest, names), stale.select("file_path"))
 
 
 def dangling(graph: CodeGraph) -> DataFrame:

@@ -77,7 +77,7 @@ def project(spark: SparkSession, sf_dir: str) -> CodeGraph:
             view = f"symloom_{t}"
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
             text = __import__("re").sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {view}", text)
-        path = f"{scratch_root(spark)}/symloom/graph-{uuid.uuid4().hex}"
+        path = f"{scratch_root(spark)}/graph-{uuid.uuid4().hex}"
         empty = F.array().cast("array<string>")
         none = F.lit(None).cast("array<string>")
         nodes = spark.sql(f"WITH {text} SELECT * FROM nodes").withColumns({"ord": F.col("ord").cast("long"), "modifiers": F.lit(None).cast("string"), "decorators": none, "throws": empty})

@@ -473,9 +473,12 @@ def _(g):
     return derive.uses_type(g.nodes, none)
 
 
-@query("normalize_params", "SELECT qualified_name, trim(regexp_replace(params, '\\s+', ' ', 'g')) AS params FROM nodes WHERE params IS NOT NULL")
+_MESSY = "replace(replace(replace(params, '(', '( _'), ', ', ' ,\n  __b: X,_1z: [ _k ], '), ')', ' , )')"
+
+
+@query("normalize_params", f"""SELECT qualified_name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MESSY}, '\\s+', ' ', 'g'), '([({{\\[,])\\s*_([a-zA-Z])', '\\1\\2', 'g'), ',\\s*([)}}\\]])', '\\1', 'g'), '([({{\\[])\\s+', '\\1', 'g'), '\\s+([)}}\\]])', '\\1', 'g')) AS params FROM nodes WHERE params IS NOT NULL""")
 def _(g):
-    return g.nodes.filter("params IS NOT NULL").select("qualified_name", S.normalize_params("params").alias("params"))
+    return g.nodes.filter("params IS NOT NULL").select("qualified_name", S.normalize_params(F.expr(_MESSY)).alias("params"))
 
 
 @query("qualified_parts", "SELECT qualified_name, split_part(qualified_name,'::',1) AS file, split_part(qualified_name,'::',2) AS short, regexp_extract(qualified_name, '^(.*::.*)\\.[^.]*$', 1) AS owner, sha256(qualified_name) AS hash FROM nodes")
@@ -507,8 +510,11 @@ def _(g):
     return changes.applicable_contracts(changes.diff_contracts(before(g), after(g), changed(g)), g.nodes, capabilities).select("qualified_name", "field")
 
 
-@query("outline", """SELECT n.qualified_name, n.kind, n.file_path, (SELECT min(c.qualified_name) FROM nodes c WHERE c.kind IN ('Class','Interface') AND c.file_path=n.file_path AND c.name=n.parent_name AND c.line_start<=n.line_start AND n.line_end<=c.line_end) AS owner,
- (SELECT count(*) FROM edges e WHERE e.kind='CALLS' AND e.target_qualified=n.qualified_name) AS fan_in, (SELECT count(*) FROM edges e WHERE e.kind='CALLS' AND e.source_qualified=n.qualified_name) AS fan_out FROM nodes n WHERE coalesce(n.is_exported, true)""")
+@query("outline", """SELECT n.qualified_name, n.kind, n.file_path, k.owner,
+ (SELECT count(*) FROM edges e WHERE e.kind='CALLS' AND e.target_qualified=n.qualified_name) AS fan_in, (SELECT count(*) FROM edges e WHERE e.kind='CALLS' AND e.source_qualified=n.qualified_name) AS fan_out
+ FROM nodes n LEFT JOIN (SELECT m.qualified_name q, min_by(c.qualified_name, c.line_start*100000+c.line_end) AS owner, min_by(coalesce(c.is_exported,false), c.line_start*100000+c.line_end) AS shown FROM nodes m JOIN nodes c
+  ON c.kind IN ('Class','Interface','Enum') AND m.kind IN ('Method','Constructor') AND c.file_path=m.file_path AND c.name=m.parent_name AND c.line_start<=m.line_start AND m.line_end<=c.line_end GROUP BY 1) k ON k.q=n.qualified_name
+ WHERE coalesce(n.is_exported, false) AND coalesce(k.shown, true)""")
 def _(g):
     return changes.outline(g, exported_only=True).select("qualified_name", "kind", "file_path", "owner", "fan_in", "fan_out")
 

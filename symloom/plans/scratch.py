@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.symloom.scratch", None)
-    if not root:
-        root = f"file:///tmp/symloom-{uuid.uuid4().hex}"
-        spark.conf.set("spark.symloom.scratch", root)
+    """A folder of this application in ``spark.checkpoint.dir``, removed when the process ends.
+
+    Only a local session may do without that setting and then has a folder in /tmp; on a cluster executors would
+    not see each other's files there.
+    """
+    root = spark.conf.get("spark.symloom.scratch", None)
+    if root:
+        return root
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    root = f"{shared or 'file:///tmp'}/symloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    spark.conf.set("spark.symloom.scratch", root)
+    atexit.register(discard, spark, root)
     return root
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder by the file system that Spark uses for it."""
+    with contextlib.suppress(Exception):  # the session may be gone; what is left is a temporary folder
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written and read back: iterations keep short plans and survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/symloom/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

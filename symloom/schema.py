@@ -51,7 +51,7 @@ CAPABILITIES = [
     ("dart", True, True, True, True, "nominal"),
     ("scala", True, True, True, True, "structural"),
     ("rust", True, True, False, True, "nominal"),
-    ("php", False, True, True, True, "nominal"),
+    ("php", False, True, True, False, "nominal"),
     ("c", False, False, False, True, "nominal"),
     ("cpp", False, False, True, True, "nominal"),
     ("elixir", False, True, False, False, "duck"),

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Folders that hold no sources, names of built files, languages by extension.
-SKIPPED = ("node_modules", ".git", "dist", "build", "out", "coverage", "vendor", "target", "bin", "obj", ".next", ".nuxt", ".cache", ".venv", "venv", "__pycache__", ".tox", ".gradle", ".idea", ".vscode", "bower_components", ".svn", ".hg")
-BUILT = r"(\.min\.[^./]+|[.-]bundle\.[^./]+|\.chunk\.[^./]+|\.packed\.[^./]+)$"
+SKIPPED = (
+    "node_modules", ".git", "dist", "build", ".next", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".turbo",
+    ".cache", ".output", "out", ".nuxt", ".svelte-kit", ".idea", ".mypy_cache", ".tox", ".pytest_cache", ".eggs", "bower_components",
+)
+BUILT = r"(\.min\.\w+|[.-]bundle\.\w+|\.chunk\.\w+|\.packed\.\w+)$"
 EXTENSIONS = {
-    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "es6": "javascript",
-    "py": "python", "pyi": "python", "rb": "ruby", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "swift": "swift", "dart": "dart", "scala": "scala", "sc": "scala",
-    "rs": "rust", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash",
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "es6": "javascript",
+    "py": "python", "rb": "ruby", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "rs": "rust", "cs": "csharp", "php": "php", "swift": "swift", "dart": "dart",
+    "scala": "scala", "sc": "scala", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash",
 }
 
 

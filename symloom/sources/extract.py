@@ -345,11 +345,11 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def nodes_of(extracted: DataFrame) -> DataFrame:
-    """Nodes with ``ord``; members are named ``file::Class.member``."""
+    """Nodes with ``ord``; members are named ``file::Class.member``. ``is_exported`` is true or unknown, never false."""
     rows = extracted.select("file_path", "language", "file_hash", F.posexplode("symbols").alias("k", "s")).select("file_path", "language", "file_hash", "k", "s.*")
     member = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
     return rows.select(
         "kind", F.lit(None).cast("string").alias("ast_kind"), "name", F.concat("file_path", F.lit("::"), member).alias("qualified_name"), "file_path", "line_start", "line_end", "language", F.col("owner").alias("parent_name"), "params", "return_type", "modifiers", "is_test", "file_hash",
         F.sha2(F.concat_ws("|", "kind", member, "params", "return_type", (F.col("line_end") - F.col("line_start")).cast("string"), F.col("complexity").cast("string")), 256).alias("content_hash"),
-        "is_exported", "is_async", "decorators", "throws", "complexity", (F.xxhash64("file_path").bitwiseAND(F.lit((1 << 40) - 1)) * 4096 + F.col("k")).alias("ord"), "extends", "implements",
+        F.when(F.col("is_exported"), True).alias("is_exported"), "is_async", "decorators", "throws", "complexity", (F.xxhash64("file_path").bitwiseAND(F.lit((1 << 40) - 1)) * 4096 + F.col("k")).alias("ord"), "extends", "implements",
     )

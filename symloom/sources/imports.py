@@ -153,15 +153,29 @@ def external_package(language: str, module: str, manifest: dict | None = None) -
     return next((n for n in names if module == n or module.startswith((n + "/", n + ".", n + "::")) or n == head), None)
 
 
+_JSON_PART = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', re.S)
+_JSON_TAIL = re.compile(r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])', re.S)
+
+
+def read_json(text: str) -> dict:
+    """JSON with comments and trailing commas; what stands in strings is left alone. Empty where it cannot be read."""
+    plain = _JSON_PART.sub(lambda m: m[0] if m[0][0] == '"' else " ", text.removeprefix("\ufeff"))
+    try:
+        found = json.loads(_JSON_TAIL.sub(lambda m: "" if m[0] == "," else m[0], plain))
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def read_manifest(texts: dict[str, str]) -> dict:
     """One manifest from the files of a root: package.json, tsconfig.json, go.mod, Cargo.toml, composer.json, pubspec.yaml, pyproject.toml, Gemfile."""
     out: dict = {"dependencies": [], "aliases": {}, "workspaces": {}}
     if "package.json" in texts:
-        p = json.loads(texts["package.json"])
+        p = read_json(texts["package.json"])
         out["dependencies"] += [*p.get("dependencies", {}), *p.get("devDependencies", {}), *p.get("peerDependencies", {})]
         out["aliases"] |= {k: [v] if isinstance(v, str) else [x for x in v.values() if isinstance(x, str)] for k, v in p.get("imports", {}).items()}
     if "tsconfig.json" in texts:
-        c = json.loads(re.sub(r",(\s*[}\]])", r"\1", re.sub(r"^\s*//.*$|/\*.*?\*/", "", texts["tsconfig.json"], flags=re.M | re.S))).get("compilerOptions", {})
+        c = read_json(texts["tsconfig.json"]).get("compilerOptions", {})
         base = c.get("baseUrl", ".")
         out["aliases"] |= {k: [posixpath.normpath(posixpath.join(base, t)) for t in v] for k, v in c.get("paths", {}).items()}
     if "go.mod" in texts:
@@ -173,7 +187,7 @@ def read_manifest(texts: dict[str, str]) -> dict:
         name = re.search(r'^name\s*=\s*"([^"]+)"', texts["Cargo.toml"], re.M)
         out["crates"] = dict(re.findall(r'^([\w-]+)\s*=\s*\{[^}]*path\s*=\s*"([^"]+)"', texts["Cargo.toml"], re.M)) | ({name[1].replace("-", "_"): ""} if name else {})
     if "composer.json" in texts:
-        p = json.loads(texts["composer.json"])
+        p = read_json(texts["composer.json"])
         out["psr4"] = {k: v if isinstance(v, str) else v[0] for part in ("autoload", "autoload-dev") for k, v in p.get(part, {}).get("psr-4", {}).items()}
         out["dependencies"] += list(p.get("require", {}))
     if "pubspec.yaml" in texts:

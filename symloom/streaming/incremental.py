@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..graph import CodeGraph
 from ..plans.build import graph_of_files
 from ..operators.changes import merge
+from ..sources.noise import noise_table
 
 
 def follow(spark: SparkSession, files: DataFrame, path: str, checkpoint: str, manifest: dict | None = None) -> StreamingQuery:
@@ -23,7 +24,7 @@ def follow(spark: SparkSession, files: DataFrame, path: str, checkpoint: str, ma
         latest = latest.persist()
         try:
             before = current(spark, path)
-            local = graph_of_files(latest, manifest, before)
+            local = graph_of_files(latest, manifest, before, noise_table(spark))
             after = merge(before, local, latest.select("file_path")) if before is not None else local
             after.save(f"{path}/v{number:012d}")
             spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")

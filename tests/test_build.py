@@ -120,3 +120,28 @@ def test_stream_keeps_the_graph_current(spark, tmp_path):
         table(spark, {"src/base.ts": "export class Base {\n  keep() { return 1; }\n}\n"}).write.mode("append").parquet(src)
     names = {r[0] for r in incremental.current(spark, str(tmp_path / "g")).nodes.filter(F.col("file_path") == "src/base.ts").select("name").collect()}
     assert names == {"Base", "keep"}
+
+
+def test_skipped_folders_and_extensions(spark, tmp_path):
+    for p in ("bin/a.ts", "obj/b.py", ".turbo/c.ts", ".mypy_cache/d.py", "e.mts", "f.pyi", "g.es6", "h.test.min.js"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x = 1\n")
+    assert {r.file_path for r in discovery.discover(spark, str(tmp_path)).collect()} == {"bin/a.ts", "obj/b.py", "g.es6"}
+
+
+def test_update_with_noise_names_agrees_with_parse(spark, tmp_path):
+    files = {"a.ts": "export function log(x) { return x; }\nexport function other() { return 1; }\n", "b.ts": "import { other } from './a';\nexport function run(x) { log(x); x.map(other); return other(); }\n"}
+    for p, text in files.items():
+        (tmp_path / p).write_text(text)
+    first = build.parse(spark, str(tmp_path))
+    (tmp_path / "b.ts").write_text(files["b.ts"] + "export function more(x) { log(x); return other(); }\n")
+    after = build.update(first, discovery.discover(spark, str(tmp_path)))
+    full = build.parse(spark, str(tmp_path))
+    calls = [{e for e in edges(g) if e[0] == "CALLS"} for g in (after, full)]
+    assert calls[0] == calls[1] and not any(t == "a.ts::log" for _, _, t, _ in calls[0]) and len(calls[0]) == 2
+
+
+def test_comments_of_configuration_files():
+    text = '{\n  // paths\n  "compilerOptions": { "baseUrl": ".", /* all */ "paths": {"@/*": ["./src/*"], "u": ["http://x//y",], }, }, // behind\n  "include": ["src/**/*.ts"]\n}'
+    found = imports.read_manifest({"tsconfig.json": text, "package.json": "not json"})
+    assert found["aliases"]["@/*"] == ["src/*"] and imports.read_json(text)["include"] == ["src/**/*.ts"]

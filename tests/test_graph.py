@@ -159,3 +159,24 @@ def test_json_round_trip(spark, tmp_path):
     (tmp_path / "n.json").write_text('{"metadata":{"schema_version":"9.0"},"nodes":[],"edges":[]}')
     with pytest.raises(ValueError):
         CodeGraph.load_json(spark, str(tmp_path / "n.json"))
+
+
+def test_fixed_values_of_names_and_signatures(spark):
+    rows = spark.createDataFrame([("(__x: a, _1y)", "user-test.ts"), ("( _a: T,\n  _b )", "UserTests.java"), ("(a, [ _c ],)", "user_spec.rb"), ("(a: _Private)", "TestUser.java")], "p string, f string")
+    got = [tuple(r) for r in rows.select(S.normalize_params("p"), S.test_stem("f")).collect()]
+    assert got == [("(__x: a, _1y)", "user"), ("(a: T,b)", None), ("(a, [c])", "user"), ("(a: _Private)", None)]
+
+
+def test_outline_keeps_what_is_known_to_be_exported(spark):
+    def node(kind, name, lines, exported, parent=None):
+        q = f"f.ts::{parent}.{name}" if parent else f"f.ts::{name}"
+        return (kind, name, q, "f.ts", lines[0], lines[1], parent, exported)
+
+    nodes = spark.createDataFrame(
+        [node("Class", "Shown", (0, 9), True), node("Method", "a", (1, 2), True, "Shown"), node("Method", "b", (3, 4), None, "Shown"), node("Class", "Hidden", (10, 19), None), node("Method", "c", (11, 12), True, "Hidden"), node("Enum", "E", (20, 29), True), node("Method", "d", (21, 22), True, "E"), node("Function", "f", (30, 31), False), node("Function", "g", (32, 33), None), node("Function", "h", (34, 35), True, "Shown")],
+        "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, parent_name string, is_exported boolean",
+    )
+    graph = CodeGraph(nodes, spark.createDataFrame([], "kind string, source_qualified string, target_qualified string"))
+    found = {r.name: r.owner for r in changes.outline(graph, exported_only=True).collect()}
+    assert found == {"Shown": None, "a": "f.ts::Shown", "E": None, "d": "f.ts::E", "h": None}
+    assert {r.name for r in changes.outline(graph).collect()} == set("abcdfgh") | {"Shown", "Hidden", "E"}
