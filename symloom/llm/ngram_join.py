@@ -596,10 +596,14 @@ class _Join:
         return stash(texts.groupBy("block").applyInPandas(lambda pdf: decide(pdf, classes, width), shape))
 
     def dealt(self, part: DataFrame, salt: int) -> DataFrame:
-        """``part`` with chunks and block: groups larger than a chunk are dealt out by a hash of the id."""
-        large = part.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / self.chunk).alias("chunks")).filter("chunks > 1")
-        part = part.join(_small(large), "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        return part.withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")), F.lit(salt)))
+        """``part`` with chunks and block: groups larger than a chunk are dealt out by a hash of the id, groups of a page or less share blocks."""
+        sizes = stash(part.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
+        few = sizes.filter(F.col("size") <= PAGE).agg(F.sum("size")).first()[0] or 0
+        sizes = broadcast_if_small(sizes, 48)
+        part = part.join(sizes, "group").withColumn("chunks", F.ceil(F.col("size") / self.chunk))
+        shared = F.xxhash64(F.pmod(F.xxhash64("group", F.lit(salt)), F.lit(max(1, few // self.chunk))), F.lit("shared"))
+        own = F.xxhash64("group", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")), F.lit(salt))
+        return part.withColumn("block", F.when((F.col("size") <= PAGE) & (F.col("chunks") == 1), shared).otherwise(own)).drop("size")
 
     def labels(self) -> DataFrame:
         """(doc_id, label) of representatives with a candidate link; label: one representative of the component."""

@@ -158,3 +158,45 @@ def test_repeats_across_pieces_of_long_texts(spark, monkeypatch):
 
 def test_cover_is_a_difference_cover():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
+
+
+def test_linked_pairs_equal_brute_force(docs, rows):
+    """Every link between different sets, also within a component, each set under one id."""
+    unique = {i: t for i, t in rows}
+    sets = sets_of(unique.items())
+    leader: dict = {}
+    for i in sorted(sets):
+        if sets[i]:
+            leader.setdefault(frozenset(sets[i]), i)
+    lead = sorted(leader.values())
+    want = {(a, b, both) for k, a in enumerate(lead) for b in lead[k + 1 :] if (both := len(sets[a] & sets[b])) and 10 * both >= 8 * len(sets[a] | sets[b])}
+    df = docs.groupBy("doc_id").agg({"text": "max"}).withColumnRenamed("max(text)", "text")
+    assert {r.doc_id: r.text for r in df.collect()} == unique
+    for chunk in (512, 4):
+        assert {tuple(r) for r in ngram_join.linked_pairs(df, 8, 10, 3, chunk).collect()} == want and len(want) > 20
+
+
+def test_groups_held_together_by_common_lines(spark):
+    """Many documents share lines and little else; near copies among them are found, others stay alone, whatever the chunk."""
+    rng = random.Random(21)
+    lines = [words(rng, 6) for _ in range(4)]
+    rows = [(k, "\n".join([*rng.sample(lines, 2), words(rng, rng.randint(3, 40)), rng.choice(lines)])) for k in range(120)]
+    rows += [(500 + k, rows[k][1] + " more") for k in range(0, 40, 4)]
+    rows += [(700 + k, "\n".join(rng.sample(lines, 3))) for k in range(30)]
+    want = {(i, c) for i, (_, c) in brute_components(rows, 8, 10).items()}
+    for chunk in (512, 8):
+        assert {(r.doc_id, r.component_id) for r in ngram_join.components(frame(spark, rows), 8, 10, 3, chunk).collect()} == want
+
+
+def test_blocks_of_parts_find_all(spark, monkeypatch):
+    """A group whose components meet in many small parts of either side."""
+    monkeypatch.setattr(ngram_join, "PART", 400)
+    rng = random.Random(22)
+    base = words(rng, 50).split()
+    rows = []
+    for k in range(60):
+        changed = [w if rng.random() > 0.09 else f"x{rng.randint(0, 9)}" for w in base]
+        rows.append((k, " ".join(changed)))
+    want = {(i, c) for i, (_, c) in brute_components(rows, 8, 10).items()}
+    assert 2 < len({c for _, c in want}) < 60
+    assert {(r.doc_id, r.component_id) for r in ngram_join.components(frame(spark, rows), 8, 10, 3, 5).collect()} == want
