@@ -156,14 +156,63 @@ def tier_distribution(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def chain_receivers(sites: DataFrame, resolved: DataFrame, results: DataFrame) -> DataFrame:
-    """Sites whose receiver is another call's value, with the type that call returns (generics taken off).
+#: Names of methods that usually give an instance of the type they are called on.
+FACTORIES = ("getInstance", "instance", "Instance", "default", "Default", "getDefault", "shared", "Shared", "newInstance", "create", "of")
 
-    ``sites``: site_id, chained_from (site_id of the inner call); ``results``: (qualified, return_type).
+
+def returned_types(nodes: DataFrame) -> DataFrame:
+    """(qualified, type): what functions return by their signatures, wrappers taken off; the last node of a name counts."""
+    last = nodes.filter("return_type IS NOT NULL").groupBy(F.col("qualified_name").alias("qualified")).agg(F.max_by("return_type", "ord").alias("return_type"))
+    return last.select("qualified", strip_generics("return_type").alias("type"))
+
+
+def callee_types(wanted: DataFrame, symbols: DataFrame, import_map: DataFrame, results: DataFrame) -> DataFrame:
+    """``wanted`` (file, callee) with ``type``: what the function of the same file, an imported one, or the only one of that name returns."""
+    one = exact(symbols).select(F.col("file").alias("place"), F.col("name").alias("callee"), "qualified")
+    only = symbols.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("qualified").alias("only")).filter("n = 1").drop("n")
+    out = wanted.select("file", "callee").distinct()
+    out = out.join(one.select(F.col("place").alias("file"), "callee", F.col("qualified").alias("here")), ["file", "callee"], "left")
+    out = out.join(import_map.select("file", F.col("name").alias("callee"), F.col("target_file").alias("place")), ["file", "callee"], "left")
+    out = out.join(one.select("place", "callee", F.col("qualified").alias("there")), ["place", "callee"], "left").join(only, "callee", "left")
+    guess = F.when(F.col("place").isNotNull(), F.coalesce("there", F.concat_ws("::", "place", "callee")))
+    return out.select("file", "callee", F.coalesce("here", guess, "only").alias("qualified")).join(results, "qualified", "left").select("file", "callee", "type")
+
+
+def deferred_receivers(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, values: DataFrame, results: DataFrame) -> DataFrame:
+    """``sites`` (with receiver_call, receiver_import) whose missing receiver types come from what a callee returns or an imported value holds.
+
+    ``values``: (file, name, type, callee) of each file's own variables; a variable that holds a call's result is
+    followed once, in the file that declares it.
+    """
+    held = sites.filter("receiver_type IS NULL AND receiver_import IS NOT NULL").select("file", F.col("receiver_import").alias("name")).distinct()
+    held = held.join(import_map.select("file", "name", "target_file"), ["file", "name"]).join(values.select(F.col("file").alias("target_file"), "name", "type", "callee"), ["target_file", "name"])
+    held = cut(held)
+    asked = sites.filter("receiver_type IS NULL AND receiver_call IS NOT NULL").select("file", F.col("receiver_call").alias("callee"))
+    made = cut(callee_types(asked.union(held.filter("type IS NULL AND callee IS NOT NULL").select(F.col("target_file").alias("file"), "callee")), symbols, import_map, results))
+    of_value = held.join(made.select(F.col("file").alias("target_file"), "callee", F.col("type").alias("made")), ["target_file", "callee"], "left")
+    of_value = of_value.select("file", F.col("name").alias("receiver_import"), F.coalesce("type", "made").alias("imported_type"))
+    of_call = made.select("file", F.col("callee").alias("receiver_call"), F.col("type").alias("called_type"))
+    out = sites.join(of_call, ["file", "receiver_call"], "left").join(of_value, ["file", "receiver_import"], "left")
+    return out.select(*(F.coalesce("receiver_type", "called_type", "imported_type").alias(c) if c == "receiver_type" else c for c in sites.columns))
+
+
+def chained_calls(resolved: DataFrame, results: DataFrame, again) -> DataFrame:
+    """``resolved`` after calls made on another call's value were resolved once more with the type that call returns.
+
+    ``resolved``: what ``resolve_calls`` gives for sites with line, col, chained_line, chained_col. A factory of the
+    fixed names without a declared type gives its own receiver's type. ``again`` resolves sites; only outcomes of the
+    receiver tier count, and calls that have one already keep it.
     """
-    inner = resolved.select(F.col("site_id").alias("chained_from"), F.col("target").alias("qualified")).filter("qualified IS NOT NULL")
-    typed = inner.join(results.filter("return_type IS NOT NULL"), "qualified").select("chained_from", strip_generics("return_type").alias("receiver_type"))
-    return sites.filter("chained_from IS NOT NULL").drop("receiver_type").join(typed, "chained_from")
+    base = [c for c in resolved.columns if c not in ("target", "confidence", "tier", "alternatives", "outcome")]
+    inner = resolved.filter("target IS NOT NULL").groupBy("file", F.col("line").alias("chained_line"), F.col("col").alias("chained_col")).agg(F.min_by(F.struct("target", "call_name", "receiver_type"), "site_id").alias("inner"))
+    typed = inner.join(results.select(F.col("qualified").alias("returns_of"), "type"), F.col("inner.target") == F.col("returns_of"), "left")
+    typed = typed.select("file", "chained_line", "chained_col", F.coalesce("type", F.when(F.col("inner.call_name").isin(*FACTORIES), F.col("inner.receiver_type"))).alias("chain_type")).filter("chain_type IS NOT NULL")
+    outer = resolved.filter("chained_line IS NOT NULL AND coalesce(tier, '') <> 'receiver'").select(*base)
+    outer = cut(outer.join(typed, ["file", "chained_line", "chained_col"]).withColumn("receiver_type", F.col("chain_type")).select(*base))
+    if outer.isEmpty():
+        return resolved
+    better = cut(again(outer).filter("tier = 'receiver'"))
+    return resolved.join(better.select("site_id"), "site_id", "left_anti").select(*resolved.columns).union(better.select(*resolved.columns))
 
 
 def strip_generics(column: str, rounds: int = 4) -> Column:
@@ -171,7 +220,9 @@ def strip_generics(column: str, rounds: int = 4) -> Column:
     c = F.trim(F.col(column))
     for _ in range(rounds):
         c = F.regexp_replace(c, r"\[\]$", "")
-        c = F.when(c.rlike(r"^[\w.]+[<\[].*[>\]]$"), F.trim(F.regexp_extract(c, r"^[\w.]+[<\[]\s*((?:[^,<\[]|[<\[].*[>\]])+)", 1))).otherwise(c)
+        inside = F.regexp_extract(c, r"^[\w.]+[<\[]\s*(.*)[>\]]$", 1)
+        first = F.trim(F.regexp_extract(inside, r"^((?:[^,<>\[\]]+|[<\[].*[>\]])+)", 1))
+        c = F.when(first != "", first).otherwise(c)
     return c
 
 

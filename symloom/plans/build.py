@@ -47,12 +47,19 @@ def graph_of_files(files: DataFrame, manifest: dict | None = None, baseline: Cod
     injected = injected.groupBy("file", "field").agg(F.min("di").alias("di"))
     field = F.regexp_extract("receiver", r"^(?:\$?this|self)(?:\.|->)(\w+)$", 1)
     sites = calls.withColumn("field", field).join(injected, ["file", "field"], "left")
-    sites = sites.select(F.xxhash64("file", "k").alias("site_id"), "file", "language", F.col("name").alias("call_name"), F.when(F.col("di").isNull(), F.col("receiver_type")).alias("receiver_type"), F.col("di").alias("di_type"), F.col("in_class").alias("resolve_in_class"), "line")
+    sites = sites.select(F.xxhash64("file", "k").alias("site_id"), "file", "language", F.col("name").alias("call_name"), F.when(F.col("di").isNull(), F.col("receiver_type")).alias("receiver_type"), F.col("di").alias("di_type"), F.col("in_class").alias("resolve_in_class"), "line", "col", "chained_line", "chained_col", "receiver_call", "receiver_import")
     heritage = staged.filter("kind IN ('Class', 'Interface')").select("name", F.explode(F.array_compact(F.concat(F.array("extends"), F.coalesce("implements", F.array().cast("array<string>"))))).alias("parent"))
-    resolved = resolve.resolve_calls(cut(sites), symbols, import_map, heritage, noise_names).filter("target IS NOT NULL")
+    everything = nodes.unionByName(baseline.nodes.select(*_NODE), allowMissingColumns=True) if baseline is not None else nodes
+    results = cut(resolve.returned_types(everything))
+    values = extracted.select(F.col("file_path").alias("file"), F.explode("values").alias("v")).select("file", "v.*")
+    typed = cut(resolve.deferred_receivers(cut(sites), symbols, import_map, values, results))
+
+    def resolved_calls(rows: DataFrame) -> DataFrame:
+        return resolve.resolve_calls(rows, symbols, import_map, heritage, noise_names)
+
+    resolved = resolve.chained_calls(cut(resolved_calls(typed)), results, resolved_calls).filter("target IS NOT NULL")
     placed = changes.enclosing_function(nodes, resolved.withColumnRenamed("file", "file_path"))
     edges = placed.filter("source <> target").select(F.lit("CALLS").alias("kind"), F.col("source").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", "confidence", "tier", "alternatives")
-    everything = nodes.unionByName(baseline.nodes.select(*_NODE), allowMissingColumns=True) if baseline is not None else nodes
     edges = cut(derive.known_calls(edges, everything))
 
     classes = staged.filter("kind = 'Class'").select("qualified_name", F.col("file_path").alias("file"), F.col("line_start").alias("line"), "extends", F.coalesce("implements", F.array().cast("array<string>")).alias("implements"))

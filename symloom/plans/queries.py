@@ -434,6 +434,22 @@ def _(g):
     return resolve.tier_distribution(resolve.resolve_calls(sites, symbols, imported, noise=noise))
 
 
+_CALLEES = """, w AS (SELECT DISTINCT split_part(e.target_qualified,'::',1) file, n.name callee, n.file_path src FROM edges e JOIN nodes n ON n.qualified_name=e.source_qualified WHERE e.kind='CALLS' AND n.kind='Function'),
+ im AS (SELECT file, callee, CASE WHEN length(callee)%2=0 THEN src ELSE 'nowhere.ts' END tf FROM w WHERE length(callee)%2=0 OR callee LIKE '%7'), sym AS (SELECT file_path file, name, qualified_name q FROM nodes WHERE kind IN ('Function','Method','Class','Interface')),
+ ex AS (SELECT file, name, min(q) q FROM sym GROUP BY 1,2 HAVING count(*)=1), only1 AS (SELECT name, min(q) q FROM sym GROUP BY 1 HAVING count(*)=1)
+ SELECT w.file, w.callee, r.return_type AS type FROM w LEFT JOIN im ON im.file=w.file AND im.callee=w.callee LEFT JOIN ex h ON h.file=w.file AND h.name=w.callee LEFT JOIN ex t ON t.file=im.tf AND t.name=w.callee LEFT JOIN only1 o ON o.name=w.callee
+ LEFT JOIN nodes r ON r.qualified_name=coalesce(h.q, t.q, im.tf||'::'||w.callee, o.q)"""
+
+
+@query("callee_types", _CALLEES)
+def _(g):
+    calls = g.of_kind("CALLS").select(F.col("source_qualified").alias("qualified_name"), file_of("target_qualified").alias("file"))
+    wanted = calls.join(g.nodes.filter("kind = 'Function'").select("qualified_name", F.col("name").alias("callee"), "file_path"), "qualified_name").select("file", "callee", "file_path").distinct()
+    known = F.length("callee") % 2 == 0
+    imported = wanted.filter(known | F.col("callee").endswith("7")).select("file", F.col("callee").alias("name"), F.when(known, F.col("file_path")).otherwise("nowhere.ts").alias("target_file"))
+    return resolve.callee_types(wanted, resolve.symbol_table(g.nodes), imported, resolve.returned_types(g.nodes))
+
+
 @query("name_stats", ", sym AS (SELECT file_path file, name FROM nodes WHERE kind IN ('Function','Method','Class','Interface')) SELECT name, count(*) AS definitions, count(DISTINCT file) AS files FROM sym GROUP BY name")
 def _(g):
     return resolve.name_stats(resolve.symbol_table(g.nodes))

@@ -2,7 +2,8 @@
 
 Python is read with its own parser. Other languages are read with patterns of
 their declarations and the nesting of their blocks: names, lines, heritage,
-signatures, imports and calls are found; scopes of receivers are per file.
+signatures, imports and calls are found; a receiver has the type that the
+innermost function binding it gives, else the file.
 Extractors are kept in a registry and run in ``mapInPandas``; a file that
 cannot be read gives a row with ``error`` set.
 """
@@ -18,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYMBOL = "kind string, name string, owner string, line_start int, line_end int, params string, return_type string, modifiers string, is_test boolean, is_exported boolean, is_async boolean, decorators array<string>, throws array<string>, complexity int, extends string, implements array<string>"
-CALL = "name string, receiver string, receiver_type string, line int, col int, in_class string"
+#: ``col``: where the callee ends; ``chained``: where the callee of the call whose value is the receiver ends; ``receiver_call``: the
+#: function whose result the receiver holds; ``receiver_import``: a receiver that no scope of the file binds.
+CALL = "name string, receiver string, receiver_type string, line int, col int, in_class string, chained_line int, chained_col int, receiver_call string, receiver_import string"
+VALUE = "name string, type string, callee string"
 IMPORT = "module string, names array<string>, line int, re_export boolean"
 BINDING = "owner string, field string, type string"
 
@@ -27,7 +31,7 @@ def _nested(spec: str) -> str:
     return "array<struct<" + ", ".join(p.replace(" ", ":", 1) for p in spec.split(", ")) + ">>"
 
 
-EXTRACTED = f"file_path string, language string, file_hash string, symbols {_nested(SYMBOL)}, calls {_nested(CALL)}, imports {_nested(IMPORT)}, bindings {_nested(BINDING)}, error string"
+EXTRACTED = f"file_path string, language string, file_hash string, symbols {_nested(SYMBOL)}, calls {_nested(CALL)}, imports {_nested(IMPORT)}, bindings {_nested(BINDING)}, values {_nested(VALUE)}, error string"
 
 _FIELDS = [p.split(" ")[0] for p in SYMBOL.split(", ")]
 EXTRACTORS: dict[str, Callable[[str, str], dict]] = {}
@@ -69,6 +73,7 @@ class _PythonReader(ast.NodeVisitor):
         self.symbols, self.calls, self.imports, self.bindings = [], [], [], []
         self.classes: list[str] = []
         self.types: list[dict[str, str]] = [{}]
+        self.made: list[dict[str, str]] = [{}]
         self.fields: dict[str, str] = {}
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
@@ -96,10 +101,12 @@ class _PythonReader(ast.NodeVisitor):
                 if owner and node.name == "__init__":
                     self.bindings.append({"owner": owner, "field": a.arg, "type": scope[a.arg]})
         self.types.append(scope)
+        self.made.append({})
         held, self.classes = self.classes, list(self.classes)
         self.generic_visit(node)
         self.classes = held
         self.types.pop()
+        self.made.pop()
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
@@ -118,6 +125,10 @@ class _PythonReader(ast.NodeVisitor):
                         self.types[-1].setdefault(t.id, made)
                     elif isinstance(t, ast.Attribute) and _dotted(t.value) == "self":
                         self.fields.setdefault(f"{self.classes[-1] if self.classes else ''}.{t.attr}", made)
+            elif isinstance(node.value.func, ast.Name):
+                for t in node.targets:
+                    if isinstance(t, ast.Name):
+                        self.made[-1].setdefault(t.id, made)
         elif isinstance(node.value, ast.Name) and self.types[-1].get(node.value.id):
             for t in node.targets:
                 if isinstance(t, ast.Attribute) and _dotted(t.value) == "self":
@@ -149,8 +160,11 @@ class _PythonReader(ast.NodeVisitor):
             kind = self.fields.get(f"{owner}.{receiver[5:]}")
         elif receiver:
             kind = next((s[receiver] for s in reversed(self.types) if receiver in s), receiver if receiver[:1].isupper() and "." not in receiver else None)
+        made = None if kind or in_class else next((s[receiver] for s in reversed(self.made) if receiver in s), None)
+        inner = node.func.value if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Call) else None
+        chained = (inner.func.end_lineno - 1, inner.func.end_col_offset) if inner else (None, None)
         if name:
-            self.calls.append({"name": name, "receiver": receiver or None, "receiver_type": kind, "line": node.lineno - 1, "col": node.end_col_offset, "in_class": in_class})
+            self.calls.append({"name": name, "receiver": receiver or None, "receiver_type": kind, "line": node.func.end_lineno - 1, "col": node.func.end_col_offset, "in_class": in_class, "chained_line": chained[0], "chained_col": chained[1], "receiver_call": made, "receiver_import": None})
         self.generic_visit(node)
 
 
@@ -158,7 +172,8 @@ class _PythonReader(ast.NodeVisitor):
 def read_python(path: str, source: str) -> dict:
     reader = _PythonReader(path, source)
     reader.visit(ast.parse(source))
-    return {"symbols": reader.symbols, "calls": reader.calls, "imports": reader.imports, "bindings": reader.bindings}
+    values = [{"name": n, "type": t, "callee": None} for n, t in reader.types[0].items()] + [{"name": n, "type": None, "callee": c} for n, c in reader.made[0].items() if n not in reader.types[0]]
+    return {"symbols": reader.symbols, "calls": reader.calls, "imports": reader.imports, "bindings": reader.bindings, "values": values}
 
 
 # ---- languages read by patterns
@@ -208,6 +223,10 @@ _KEYWORDS = frozenset("if for while switch catch return function new typeof awai
 _CALLED = re.compile(rf"(?:(?P<receiver>(?:{_ID}(?:\(\))?(?:\.|->|::|\?\.))*{_ID})(?:\.|->|::|\?\.))?(?P<name>{_ID})\s*(?:<[\w, <>\[\].]*>)?\(")
 _TYPED = re.compile(rf"\b(?:const|let|var|val|final)?\s*(?P<name>{_ID})\s*(?::\s*(?P<type>[A-Z]\w*)|(?::=|=)\s*(?:await\s+)?(?:new\s+|&)?(?P<made>[A-Z]\w*)\s*[({{])")
 _OTHER_ORDER = re.compile(rf"\b(?P<type>[A-Z]\w*)(?:<[^>]*>)?\s+(?P<name>{_ID})\s*(?=[=;,)])")
+#: What else gives a TypeScript variable its type: an assertion, or a plain call, whose result type is looked up later.
+_ASSERTED = re.compile(rf"\b(?:const|let|var)\s+(?P<name>{_ID})\s*=[^;\n]*\bas\s+(?P<type>[A-Z]\w*)")
+_FACTORY = re.compile(rf"\b(?:const|let|var)\s+(?P<name>{_ID})\s*=\s*(?P<callee>{_ID})\s*(?:<[\w, <>\[\].]*>)?\(")
+_SCRIPTS = ("typescript", "tsx", "javascript")
 _DI = re.compile(rf"\b(?:private|protected|public|readonly|final|val)\s+(?:readonly\s+|final\s+)*(?:(?P<field>{_ID})\s*:\s*(?P<type>[A-Z]\w*)|(?P<type2>[A-Z]\w*)(?:<[^>]*>)?\s+\$?(?P<field2>{_ID}))")
 _TEST_MARK = re.compile(r"@(?:Test|ParameterizedTest)\b|\[(?:Fact|Test|Theory|TestMethod)|#\[(?:\w+::)?test\]")
 _STRINGS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -246,7 +265,7 @@ def read_by_patterns(language: str) -> Callable[[str, str], dict]:
         import bisect
 
         line = lambda at: bisect.bisect_right(starts, at) - 1
-        symbols, owners = [], []
+        symbols, owners, spans = [], [], []
         for kind, pattern in (("Class", grammar.types), ("Interface", grammar.interfaces), ("Enum", grammar.enums)):
             for m in pattern.finditer(text):
                 g = m.groupdict()
@@ -264,6 +283,7 @@ def read_by_patterns(language: str) -> Callable[[str, str], dict]:
             if not name or name in _KEYWORDS:
                 continue
             begin, end = m.start(), _block_end(text, m.end() - 1, grammar.blocks)
+            spans.append((begin, end))
             owner = g.get("owner") or max(((a, n) for a, b, n in owners if a < m.end() <= b), default=(0, None))[1]
             mods = (g.get("mods") or "").strip()
             body = text[m.end() : end]
@@ -279,10 +299,46 @@ def read_by_patterns(language: str) -> Callable[[str, str], dict]:
             for m in grammar.tests.finditer(source):
                 end = _block_end(text, m.end(), grammar.blocks)
                 symbols.append(symbol("Test", m["name"], line(m.start()), line(end), is_test=True))
-        types: dict[str, str] = {}
-        for pattern in (_OTHER_ORDER, _TYPED):
+        bound: dict[str, list[tuple[int, str | None, str | None]]] = {}
+        for pattern in (_OTHER_ORDER, _TYPED, *((_ASSERTED,) if language in _SCRIPTS else ())):
             for m in pattern.finditer(text):
-                types[m["name"]] = m["type"] or m.groupdict().get("made")
+                bound.setdefault(m["name"], []).append((m.start("name"), m["type"] or m.groupdict().get("made"), None))
+        if language in _SCRIPTS:
+            for m in _FACTORY.finditer(text):
+                if m["callee"] not in _KEYWORDS and not any(at == m.start("name") for at, _, _ in bound.get(m["name"], ())):
+                    bound.setdefault(m["name"], []).append((m.start("name"), None, m["callee"]))
+        for places in bound.values():
+            places.sort(key=lambda x: x[0])
+
+        def binding_of(name: str, at: int) -> tuple[str | None, str | None]:
+            """(type, callee) of a variable at a place: by the innermost function that binds it, else by the file."""
+            places = bound.get(name)
+            if not places:
+                return None, None
+            for a, b in sorted(((a, b) for a, b in spans if a <= at <= b), key=lambda x: x[1] - x[0]):
+                inside = [x for x in places if a <= x[0] <= b]
+                if inside:
+                    return inside[-1][1:]
+            return places[-1][1:]
+
+        def called_before(at: int) -> tuple[int, int] | tuple[None, None]:
+            """Where the callee ends whose value the call at ``at`` is made on, if it is made on one."""
+            head = text[:at].rstrip()
+            mark = next((x for x in ("?.", "->", "::", ".") if head.endswith(x)), None)
+            head = head[: len(head) - len(mark)].rstrip() if mark else ""
+            if not head.endswith(")"):
+                return None, None
+            depth, k = 0, len(head) - 1
+            while k >= 0:
+                depth += (head[k] == ")") - (head[k] == "(")
+                if depth == 0:
+                    break
+                k -= 1
+            end = len(head[: max(0, k)].rstrip())
+            if not end or not re.match(r"[\w$]", head[end - 1]):
+                return None, None
+            return line(end), end - starts[line(end)]
+
         bindings = [{"owner": max(((a, n) for a, b, n in owners if a < m.start() <= b), default=(0, None))[1], "field": m["field"] or m["field2"], "type": m["type"] or m["type2"]} for m in _DI.finditer(text)]
         calls = []
         declared = {(s["name"], s["line_start"]) for s in symbols}
@@ -294,10 +350,15 @@ def read_by_patterns(language: str) -> Callable[[str, str], dict]:
             owner = max(((a, n) for a, b, n in owners if a < m.start() <= b), default=(0, None))[1]
             own = receiver in ("this", "self", "super", "Self", "static", "parent", "$this")
             field = re.sub(r"^(?:\$?this|self)(?:\.|->)", "", receiver or "")
-            kind = None
-            if receiver and not own:
-                kind = types.get(field) or next((b["type"] for b in bindings if b["field"] == field), None) or (receiver if re.fullmatch(r"[A-Z]\w*", receiver) else None)
-            calls.append({"name": name, "receiver": receiver, "receiver_type": kind, "line": at, "col": m.end("name") - starts[at], "in_class": owner if own else None})
+            kind = made = None
+            chained = called_before(m.start("name"))
+            if receiver and not own and chained[0] is None:
+                kind, made = binding_of(field, m.start())
+                if not made:
+                    kind = kind or next((b["type"] for b in bindings if b["field"] == field), None) or (receiver if re.fullmatch(r"[A-Z]\w*", receiver) else None)
+            unknown = language in _SCRIPTS and receiver and not own and chained[0] is None and not kind and not made and re.fullmatch(r"[a-z_$][\w$]*", receiver)
+            calls.append({"name": name, "receiver": receiver, "receiver_type": kind, "line": line(m.end("name")), "col": m.end("name") - starts[line(m.end("name"))], "in_class": owner if own else None, "chained_line": chained[0], "chained_col": chained[1], "receiver_call": made, "receiver_import": receiver if unknown else None})
+        values = [{"name": n, "type": places[-1][1], "callee": places[-1][2]} for n, places in bound.items()] if language in _SCRIPTS else []
         imports = []
         for m in grammar.imports.finditer(source):
             g = m.groupdict()
@@ -306,7 +367,7 @@ def read_by_patterns(language: str) -> Callable[[str, str], dict]:
             imports.append({"module": g["module"], "names": names or [re.split(r"[./\\:]", g["module"].rstrip(".*"))[-1]], "line": line(m.start("module")), "re_export": bool(g.get("re"))})
         for s in symbols:
             s.pop("_at", None)
-        return {"symbols": symbols, "calls": calls, "imports": imports, "bindings": [b for b in bindings if b["field"]]}
+        return {"symbols": symbols, "calls": calls, "imports": imports, "bindings": [b for b in bindings if b["field"]], "values": values}
 
     return read
 
@@ -317,7 +378,7 @@ for _language in GRAMMARS:
 
 def extract_file(path: str, language: str, content: str) -> dict:
     read = EXTRACTORS.get(language)
-    none = {"symbols": [], "calls": [], "imports": [], "bindings": []}
+    none = {"symbols": [], "calls": [], "imports": [], "bindings": [], "values": []}
     if read is None or content is None:
         return none | {"error": f"no extractor for {language}"}
     try:
@@ -339,7 +400,7 @@ def extract(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [extract_file(*r) for r in zip(pdf["file_path"], pdf["language"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"file_path": pdf["file_path"], "language": pdf["language"], "file_hash": pdf["file_hash"]} | {c: [r[c] for r in rows] for c in ("symbols", "calls", "imports", "bindings", "error")})
+            yield pd.DataFrame({"file_path": pdf["file_path"], "language": pdf["language"], "file_hash": pdf["file_hash"]} | {c: [r[c] for r in rows] for c in ("symbols", "calls", "imports", "bindings", "values", "error")})
 
     return files.select("file_path", "language", "content", "file_hash").mapInPandas(run, EXTRACTED)
 

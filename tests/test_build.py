@@ -145,3 +145,32 @@ def test_comments_of_configuration_files():
     text = '{\n  // paths\n  "compilerOptions": { "baseUrl": ".", /* all */ "paths": {"@/*": ["./src/*"], "u": ["http://x//y",], }, }, // behind\n  "include": ["src/**/*.ts"]\n}'
     found = imports.read_manifest({"tsconfig.json": text, "package.json": "not json"})
     assert found["aliases"]["@/*"] == ["src/*"] and imports.read_json(text)["include"] == ["src/**/*.ts"]
+
+
+RECEIVERS = {
+    "src/base.ts": "export class BaseStore {\n  save(x: string): string { return x; }\n}\n",
+    "src/store.ts": "import { BaseStore } from './base';\nexport class UserStore extends BaseStore {\n  byName(n: string): string { return n; }\n}\nexport function makeStore(): Promise<UserStore> { return null; }\n",
+    "src/query.ts": "export class Query {\n  where(c: string): Query { return this; }\n  run(): string { return ''; }\n  static getInstance() { return new Query(); }\n}\nexport function makeQuery(): Query { return new Query(); }\n",
+    "src/other.ts": "export class Other {\n  run(): number { return 1; }\n  where(): number { return 2; }\n  byName() { return 3; }\n}\n",
+    "src/db.ts": "import { UserStore, makeStore } from './store';\nexport const db = new UserStore();\nexport const made = makeStore();\n",
+    "src/app.ts": "import { UserStore, makeStore } from './store';\nimport { Query, makeQuery } from './query';\nimport { Other } from './other';\nimport { db, made } from './db';\n"
+    "export function inherited() {\n  const r = new UserStore();\n  return r.save('a');\n}\nexport function chain() {\n  return makeQuery().where('x = (1)').run();\n}\nexport function factory() {\n  const s = makeStore();\n  return s.byName('n');\n}\n"
+    "export function value() { return db.byName('m'); }\nexport function valueOfCall() { return made.byName('m'); }\nexport function single() { return Query.getInstance().run(); }\n"
+    "export function scopes(r: Other) { return r.run(); }\nexport function scopes2(r: Query) { return r.run(); }\n",
+}
+
+
+def test_receivers_by_scope_chain_value_and_factory(spark):
+    got = {(s.split("::")[1], t.split("::")[1]): tier for k, s, t, tier in edges(build.graph_of_files(table(spark, RECEIVERS))) if k == "CALLS" and s.startswith("src/app.ts")}
+    assert got[("inherited", "BaseStore.save")] == "receiver"
+    assert got[("chain", "Query.run")] == "receiver"
+    assert {got[(f, "UserStore.byName")] for f in ("factory", "value", "valueOfCall")} == {"receiver"}
+    assert got[("single", "Query.run")] == "receiver"
+    assert got[("scopes", "Other.run")] == got[("scopes2", "Query.run")] == "receiver"
+    assert not {t for (s, t) in got if s in ("factory", "value", "valueOfCall")} & {"Other.byName"}
+
+
+def test_python_chains_and_factories():
+    got = extract.extract_file("a.py", "python", "def f():\n  q = make()\n  q.go()\n  make().where(\n    1).run()\n")
+    calls = {c["name"]: c for c in got["calls"]}
+    assert calls["go"]["receiver_call"] == "make" and (calls["run"]["chained_line"], calls["run"]["chained_col"]) == (calls["where"]["line"], calls["where"]["col"])

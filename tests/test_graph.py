@@ -161,6 +161,12 @@ def test_json_round_trip(spark, tmp_path):
         CodeGraph.load_json(spark, str(tmp_path / "n.json"))
 
 
+def test_generics_are_taken_off(spark):
+    cases = {"Promise<User>": "User", "User[]": "User", "Map<K, V>": "K", "Promise<Map<Array<A>, B>>": "A", "Optional[User]": "User", "a.b.Box<X>": "X", "plain": "plain", "Promise<void>": "void", "Box<Pair<A, B>, C>": "A"}
+    rows = spark.createDataFrame(list(cases.items()), "r string, want string")
+    assert all(x.got == x.want for x in rows.select("want", resolve.strip_generics("r").alias("got")).collect())
+
+
 def test_fixed_values_of_names_and_signatures(spark):
     rows = spark.createDataFrame([("(__x: a, _1y)", "user-test.ts"), ("( _a: T,\n  _b )", "UserTests.java"), ("(a, [ _c ],)", "user_spec.rb"), ("(a: _Private)", "TestUser.java")], "p string, f string")
     got = [tuple(r) for r in rows.select(S.normalize_params("p"), S.test_stem("f")).collect()]
