@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, documents, mix, n_buckets, packed_rows, prefix_hash, short_batches, stash, texts_of, window_hash
+from .shared import documents, mix, n_buckets, packed_rows, prefix_hash, short_batches, stash, texts_of, window_hash
 
 LENGTH, GRAM = 400, 24
 #: Words of a passage whose repetition ``op8_repeats`` reports besides the contract's bytes.
@@ -135,6 +135,8 @@ def _blob(table: pa.Table, name: str, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
+#: What a pass looks for: (bytes of a window, whether the bytes are word hashes).
+Plan = tuple[int, bool]
 FOUND = "doc long, th long, lo long, n long, rel int, key long, wanted boolean, wide boolean"
 
 
@@ -155,7 +157,9 @@ def _found(spans: np.ndarray, asked: np.ndarray | None = None, wanted: np.ndarra
     })
 
 
-def _first_pass(rows: DataFrame, length: int, n: int, wide_from: int) -> DataFrame:
+def _first_pass(rows: DataFrame, plan: Plan, n: int, wide_from: int) -> DataFrame:
+    length, by_words = plan
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         part: list[tuple[int, int, int, bytes]] = []
@@ -174,7 +178,7 @@ def _first_pass(rows: DataFrame, length: int, n: int, wide_from: int) -> DataFra
             yield _packed(buckets, ["anchors", "spans"])
 
         for batch in batches:
-            for doc, th, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts_of(batch), strict=True):
+            for doc, th, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), _streams(texts_of(batch), by_words), strict=True):
                 for at in range(0, max(1, len(text) - length + 1), PIECE):
                     piece = text[at : at + PIECE + length - 1]
                     if size + len(piece) >= 1 << 20:
@@ -304,12 +308,6 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _with_texts(rows: DataFrame, packed: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with one packed row per document; broadcast if its size, which is checked, allows it."""
-    size = packed.agg(F.sum(F.coalesce(F.octet_length("packed"), F.lit(0)) + 40)).first()[0] or 0
-    return rows.join(F.broadcast(packed) if size <= BROADCAST_BYTES else packed, ["doc", "th"], how)
-
-
 ASKED = np.dtype([("lo", "<u4"), ("n", "<u2"), ("rel", "<u2"), ("key", "<i8"), ("wanted", "u1"), ("wide", "u1")])
 
 
@@ -342,51 +340,63 @@ def _pack_spans(f: dict[str, np.ndarray]) -> bytes:
     return np.stack([lo[new], np.r_[reach[:-1][new[1:]], reach[-1]]], 1).astype("<i8").tobytes()
 
 
-def _second_pass(rows: DataFrame, found: DataFrame, length: int, n: int) -> DataFrame | None:
-    """Spans of strips that differ from the others of their bucket somewhere."""
-    asked = found.filter("key IS NOT NULL")
-    sizes = asked.agg(F.count(F.lit(1)), F.sum(F.col("wide").cast("long"))).first()
-    if not sizes[0]:
-        return None
-    each = max(1, -(-int(sizes[0]) * 600 // STRIP_BYTES))
-    packed = stash(_per_document(asked.select("doc", "th", "lo", "n", "rel", "key", "wanted", "wide"), _pack_asked, n))
-    texts = _with_texts(rows, packed, "inner")
+def _second_pass(rows: DataFrame, found: list[DataFrame], plans: list[Plan], n: int) -> list[DataFrame]:
+    """For each plan the spans of strips that differ from the others of their bucket somewhere; texts are fetched once for all."""
+    sizes, asked = [], None
+    for k, each in enumerate(found):
+        each = each.filter("key IS NOT NULL")
+        sizes.append([int(x or 0) for x in each.agg(F.count(F.lit(1)), F.sum(F.col("wide").cast("long"))).first()])
+        packed = _per_document(each.select("doc", "th", "lo", "n", "rel", "key", "wanted", "wide"), _pack_asked, n).withColumnRenamed("packed", f"packed{k}")
+        asked = packed if asked is None else asked.join(packed, ["doc", "th"], "full")
+    if not any(x for x, _ in sizes):
+        return [each.filter("key IS NULL").select("doc", "th", "lo", "n").limit(0) for each in found]
+    buckets = [max(1, -(-x * 600 // STRIP_BYTES)) for x, _ in sizes]
+    texts = rows.select("doc", "th", "text").join(stash(asked), ["doc", "th"])
 
     def strips(batches):
         for batch in batches:
             out = []
-            for doc, th, raw, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("packed").to_pylist(), texts_of(batch), strict=True):
-                for lo, k, rel, key, wanted, wide in np.frombuffer(raw, ASKED).tolist():
-                    if not wide:
-                        out.append(((key & 0xFFFFFFFFFFFFFFFF) // 0x9E3779B1 % each, doc, th, lo, rel, key, bool(wanted), text[lo : lo + k - 1 + length]))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "doc", "th", "lo", "rel", "key", "wanted", "strip"])
+            docs, ths, texts_ = batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts_of(batch)
+            for plan, ((length, by_words), each) in enumerate(zip(plans, buckets, strict=True)):
+                wanted_here = batch.column(f"packed{plan}").to_pylist()
+                for doc, th, raw, text in zip(docs, ths, wanted_here, _streams([t if r else b"" for t, r in zip(texts_, wanted_here, strict=True)], by_words), strict=True):
+                    for lo, k, rel, key, wanted, wide in np.frombuffer(raw or b"", ASKED).tolist():
+                        if not wide:
+                            out.append((plan, (key & 0xFFFFFFFFFFFFFFFF) // 0x9E3779B1 % each, doc, th, lo, rel, key, bool(wanted), text[lo : lo + k - 1 + length]))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["plan", "bucket", "doc", "th", "lo", "rel", "key", "wanted", "strip"])
 
     def decide(table: pa.Table) -> pa.Table:
-        pieces = table.column("strip").to_pylist()
+        plan = table.column("plan")[0].as_py()
+        length, pieces = plans[plan][0], table.column("strip").to_pylist()
         again = repeated_windows(pieces, table.column("rel").to_numpy().astype(np.int64), np.unique(table.column("key").to_numpy(), return_inverse=True)[1], length)
         out = []
         for doc, th, lo, wanted, flags in zip(*(table.column(c).to_pylist() for c in ("doc", "th", "lo", "wanted")), again, strict=True):
             if wanted:
-                out += [(doc, th, lo + a, b - a - 1 + length) for a, b in zip(*(x.tolist() for x in _runs_of(flags)), strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc", "th", "lo", "n"), columns, strict=True)})
-
-    shape = "doc long, th long, lo long, n long"
-    spans = texts.mapInArrow(strips, "bucket long, doc long, th long, lo long, rel int, key long, wanted boolean, strip binary").groupBy("bucket").applyInArrow(decide, shape)
-    if sizes[1]:
-        spans = spans.union(_wide(texts, length, max(1, -(-int(sizes[1]) * 120 * WINDOW.itemsize // STRIP_BYTES))))
-    return spans
+                out += [(plan, doc, th, lo + a, b - a - 1 + length) for a, b in zip(*(x.tolist() for x in _runs_of(flags)), strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("plan", "doc", "th", "lo", "n"), columns, strict=True)})
+
+    fetched = texts.mapInArrow(strips, "plan int, bucket long, doc long, th long, lo long, rel int, key long, wanted boolean, strip binary")
+    decided = stash(fetched.groupBy("plan", "bucket").applyInArrow(decide, "plan long, doc long, th long, lo long, n long"))
+    out = []
+    for k, (plan, (_, wide)) in enumerate(zip(plans, sizes, strict=True)):
+        spans = decided.filter(F.col("plan") == k).select("doc", "th", "lo", "n")
+        if wide:
+            spans = spans.union(_wide(texts.withColumnRenamed(f"packed{k}", "packed").filter("packed IS NOT NULL"), plan, max(1, -(-wide * 120 * WINDOW.itemsize // STRIP_BYTES))))
+        out.append(spans)
+    return out
 
 
-def _wide(texts: DataFrame, length: int, n: int) -> DataFrame:
+def _wide(texts: DataFrame, plan: Plan, n: int) -> DataFrame:
     """Windows of crowded buckets, dealt out by content."""
+    length, by_words = plan
 
     def deal(batches):
         for batch in batches:
             held = []
-            for doc, th, raw, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("packed").to_pylist(), texts_of(batch), strict=True):
+            for doc, th, raw, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("packed").to_pylist(), _streams(texts_of(batch), by_words), strict=True):
                 asked = np.frombuffer(raw, ASKED)
                 asked = asked[asked["wide"] > 0]
                 if len(asked):
@@ -432,22 +442,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), text.alias("text"))
 
 
-def _packed_spans(rows: DataFrame, length: int, wide_from: int = WIDE) -> DataFrame:
-    """(doc, th, packed) of the texts of ``rows`` (doc, th, text) that hold a repeated window."""
+def _packed_spans(rows: DataFrame, plans: list[Plan], wide_from: int = WIDE) -> list[DataFrame]:
+    """For each plan (doc, th, packed) of the texts of ``rows`` (doc, th, text) that hold a repeated window."""
     n = n_buckets(rows, "text", BUCKET_BYTES)
-    found = stash(_first_pass(rows, length, n, wide_from))
-    spans = found.filter("key IS NULL").select("doc", "th", "lo", "n")
-    more = _second_pass(rows, found, length, n)
-    if more is not None:
-        spans = spans.union(more)
-    return stash(_per_document(spans, _pack_spans, n))
+    found = [stash(_first_pass(rows, plan, n, wide_from)) for plan in plans]
+    more = _second_pass(rows, found, plans, n)
+    return [stash(_per_document(f.filter("key IS NULL").select("doc", "th", "lo", "n").union(m), _pack_spans, n)) for f, m in zip(found, more, strict=True)]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", wide_from: int = WIDE) -> DataFrame:
     """(doc_id, text, packed): ``packed`` has the maximal repeated runs of a document as little-endian (start, end) pairs, or is null."""
     short_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    return _with_texts(rows, _packed_spans(rows, length, wide_from), "left").select("doc_id", "text", "packed")
+    return rows.join(_packed_spans(rows, [(length, False)], wide_from)[0], ["doc", "th"], "left").select("doc_id", "text", "packed")
 
 
 def word_stream(texts: list[bytes]) -> list[bytes]:
@@ -461,30 +468,25 @@ def word_stream(texts: list[bytes]) -> list[bytes]:
     return [words[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
 
 
-def _repeating_passages(rows: DataFrame, words: int) -> DataFrame:
-    """(doc, th) of the texts of ``rows`` with a passage of ``words`` words or more that starts anywhere else too."""
-
-    def streams(batches):
-        for batch in batches:
-            out, part, size = [], [], 0
-            for t in texts_of(batch):
-                part.append(t)
-                size += len(t)
-                if size > 1 << 20:
-                    out += word_stream(part)
-                    part, size = [], 0
-            out += word_stream(part) if part else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(out, pa.binary())], ["doc", "th", "text"])
-
-    streamed = stash(rows.select("doc", "th", "text").mapInArrow(streams, "doc long, th long, text binary"))
-    return _packed_spans(streamed, 4 * words).select("doc", "th")
+def _streams(texts: list[bytes], by_words: bool) -> list[bytes]:
+    """The texts, or their word streams, made of about a MB of text at a time."""
+    if not by_words:
+        return texts
+    out, part, size = [], [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > 1 << 20:
+            out += word_stream(part)
+            part, size = [], 0
+    return out + word_stream(part) if part else out
 
 
 def passages(docs: DataFrame, words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, repeats_passage) of every row: whether ``words`` words in a row occur anywhere else, white space aside."""
     short_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    marked = _repeating_passages(rows, words).withColumn("repeats_passage", F.lit(True))
+    marked = _packed_spans(rows, [(4 * words, True)])[0].select("doc", "th", F.lit(True).alias("repeats_passage"))
     return rows.select("doc_id", "doc", "th").join(marked, ["doc", "th"], "left").select("doc_id", F.coalesce("repeats_passage", F.lit(False)).alias("repeats_passage"))
 
 
@@ -528,6 +530,6 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     rows = _rows(documents(spark, sf_dir), "doc_id", "text")
-    marked = _repeating_passages(rows, PASSAGE_WORDS).withColumn("marked", F.lit(True))
-    side = stash(_packed_spans(rows, LENGTH).join(marked, ["doc", "th"], "full"))
-    return _with_texts(rows, side, "left").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean")
+    spans, passages_ = _packed_spans(rows, [(LENGTH, False), (4 * PASSAGE_WORDS, True)])
+    side = stash(spans.join(passages_.select("doc", "th", F.lit(True).alias("marked")), ["doc", "th"], "full"))
+    return rows.join(side, ["doc", "th"], "left").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean")
