@@ -10,6 +10,13 @@ encoded again. A chunk without such a place belongs to the seam as a whole, so
 the seam grows until both sides agree. The split goes left to right and keeps
 no state between pre-tokens, so agreement on a boundary makes the rest exact.
 
+Chunks are counted over the whole table by their hashes first, one record a task
+and chunk, however many of its texts have it. Those that most tasks share, at
+most ``SHARED_CHUNKS``, are encoded once, each from one text that has it, and
+sent to all workers. Every other chunk is encoded once by each worker that meets
+it, as long as its cache holds it. The bound limits memory and changes no id;
+``n_chunks_encoded`` tells how many chunks of a text had to be encoded.
+
 Ids come from a byte-pair encoder over the same vocabulary that is faster on
 short strings; strings with characters beyond Latin letters go to the
 tokenizers library itself, whose tables of character classes decide.
@@ -31,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import documents, short_batches
+from .shared import documents, n_buckets, packed_rows, short_batches, stash
 
 BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 #: Pre-token pattern of the byte-level vocabulary (a fixed value of its public format).
@@ -135,6 +143,13 @@ class Chunk:
 
     __slots__ = ("first", "ids", "last")
 
+    @classmethod
+    def known(cls, first: int, last: int, ids: bytes) -> "Chunk":
+        """A chunk that was encoded elsewhere; ``first`` below zero: without an agreed place."""
+        out = cls.__new__(cls)
+        out.first, out.last, out.ids = (first, last, ids) if first >= 0 else (None, None, None)
+        return out
+
     def __init__(self, text: str, encode):
         m = _AGREED.search(text)
         if m is None:
@@ -157,7 +172,16 @@ class ChunkEncoder:
         encode, library = byte_encoder(json_path or public_path(BYTE_BPE), ranks_path or public_path(BYTE_RANKS))
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.stops = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.chunks = Cache(lambda text: Chunk(text, encode), entries)
+        self.encoded, self.met, self.shared = 0, 0, {}
+
+        def made(text: str) -> Chunk:
+            given = self.shared.get(chunk_hash(text)) if self.shared else None
+            if given is not None:
+                return Chunk.known(*given)
+            self.encoded += 1
+            return Chunk(text, encode)
+
+        self.chunks = Cache(made, entries)
         self.seams = Cache(lambda text: pack(encode(text)), entries)
 
     def encode(self, text: str) -> bytes:
@@ -169,6 +193,7 @@ class ChunkEncoder:
     def _plain(self, text: str) -> bytes:
         out, start, agreed = [], 0, 0
         for end in cuts(text):
+            self.met += 1
             chunk = self.chunks[text[start:end]]
             if chunk.first is not None:
                 seam = text[agreed : start + chunk.first]
@@ -213,33 +238,132 @@ def _strings(batch: pa.RecordBatch) -> list[str]:
     return ["" if x is None else x for x in batch.column("text").to_pylist()]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary, decoded string): ids little-endian unsigned 32-bit."""
-    short_batches(docs.sparkSession)
+# ---- exchange of chunks
+
+#: Chunks that are encoded once for all workers (about 300 bytes each), different chunks that a task holds before it sends
+#: their hashes, and bytes of text for which there is one bucket.
+SHARED_CHUNKS, HELD_CHUNKS, CHUNK_BUCKET_BYTES = 40_000, 200_000, 64 << 20
+NAMED = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("th", "<u8")])
+
+
+def chunk_hash(chunk: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"))
+
+
+def _signed(h: int) -> int:
+    return h - (h >> 63 << 64)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, th, text): ``doc`` and ``th`` name a text also where ids are null or repeat."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _chunks_of(text: str):
+    start = 0
+    for end in cuts(text):
+        yield text[start:end]
+        start = end
+
+
+def _most_shared(rows: DataFrame, most: int) -> DataFrame:
+    """(doc, th, hash) of the chunks that most tasks have, two at least; (doc, th) names one text that has the chunk."""
+
+    def name(batches):
+        held: dict[int, tuple[int, int]] = {}
+
+        def flush():
+            if held:
+                out = np.array([(h, d, t) for h, (d, t) in held.items()], NAMED)
+                held.clear()
+                packed = list(packed_rows(((out["hash"] >> np.uint64(20)) % np.uint64(n)).astype(np.int64), out))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int64()), pa.array([r.tobytes() for _, r in packed], pa.binary())], ["bucket", "named"])
+
+        for batch in batches:
+            for doc, th, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), _strings(batch), strict=True):
+                for chunk in _chunks_of(text):
+                    held.setdefault(chunk_hash(chunk), (doc, th & 0xFFFFFFFFFFFFFFFF))
+            if len(held) > HELD_CHUNKS:
+                yield from flush()
+        yield from flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        records = np.frombuffer(b"".join(table.column("named").to_pylist()), NAMED)
+        records = records[np.lexsort((records["th"], records["doc"], records["hash"]))]
+        new = np.flatnonzero(np.r_[True, records["hash"][1:] != records["hash"][:-1]]) if len(records) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[new, len(records)])
+        lead, times = records[new[times > 1]], times[times > 1]
+        if len(lead) > most:  # no more of one bucket can be among the most shared ones of all
+            best = np.argsort(-times, kind="stable")[:most]
+            lead, times = lead[best], times[best]
+        return pa.table({"doc": pa.array(lead["doc"], pa.int64()), "th": pa.array(lead["th"].astype(np.int64), pa.int64()), "hash": pa.array(lead["hash"].astype(np.int64), pa.int64()), "tasks": pa.array(times.astype(np.int64), pa.int64())})
+
+    n = n_buckets(rows, "text", CHUNK_BUCKET_BYTES)
+    found = rows.select("doc", "th", "text").mapInArrow(name, "bucket long, named binary").groupBy("bucket").applyInArrow(meet, "doc long, th long, hash long, tasks long")
+    return stash(found.orderBy(F.desc("tasks"), "hash").limit(most).select("doc", "th", "hash"))
+
+
+def _shared_table(rows: DataFrame, json_path: str | None, ranks_path: str | None, most: int = SHARED_CHUNKS):
+    """A broadcast of {hash: (first, last, ids)} for the most shared chunks, at most ``most`` of them, each encoded once."""
+    wanted = _most_shared(rows, most).groupBy("doc", "th").agg(F.collect_list("hash").alias("hashes"))
+    texts = rows.select("doc", "th", "text").join(F.broadcast(wanted), ["doc", "th"])
+
+    def encode(batches):
+        encoder = chunk_encoder(json_path, ranks_path)
+        for batch in batches:
+            out: dict[int, tuple[int, int, bytes]] = {}
+            for text, hashes in zip(_strings(batch), batch.column("hashes").to_pylist(), strict=True):
+                asked = set(hashes)
+                for chunk in _chunks_of(text):
+                    h = _signed(chunk_hash(chunk))
+                    if h in asked and h not in out:
+                        c = encoder.chunks[chunk]
+                        out[h] = (-1, -1, b"") if c.first is None else (c.first, c.last, c.ids)
+            found = list(out.items())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x[0] for _, x in found], pa.int32()), pa.array([x[1] for _, x in found], pa.int32()), pa.array([x[2] for _, x in found], pa.binary())], ["hash", "first", "last", "ids"])
+
+    got = texts.mapInArrow(encode, "hash long, first int, last int, ids binary").collect()
+    return rows.sparkSession.sparkContext.broadcast({r["hash"] & 0xFFFFFFFFFFFFFFFF: (r["first"], r["last"], bytes(r["ids"])) for r in got})
+
+
+def _encoded(rows: DataFrame, json_path: str | None, ranks_path: str | None, schema: str, row_of) -> DataFrame:
+    """``row_of`` (ids, decoded text, chunks, chunks encoded here) of every row of ``rows``."""
+    shared = _shared_table(rows, json_path, ranks_path)
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds[1:]]
 
     def run(batches):
         encoder, decoder = chunk_encoder(json_path, ranks_path), byte_decoder(json_path)
+        encoder.shared = shared.value
         for batch in batches:
-            ids = [encoder.encode(t) for t in _strings(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([decoder.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            out = []
+            for text in _strings(batch):
+                before, met = encoder.encoded, encoder.met
+                ids = encoder.encode(text)
+                out.append(row_of(ids, decoder.decode(ids), encoder.met - met, encoder.encoded - before))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], list(names))
+
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, ids binary, decoded string): ids little-endian unsigned 32-bit."""
+    short_batches(docs.sparkSession)
+    return _encoded(_rows(docs, id_col, text_col), json_path, ranks_path, "doc_id long, ids binary, decoded string", lambda ids, text, *_: (ids, text))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded texts; ``n_chunks``, and ``n_chunks_encoded`` of them that their worker had to encode."""
     short_batches(spark)
 
-    def run(batches):
-        encoder, decoder = chunk_encoder(), byte_decoder()
-        for batch in batches:
-            rows = []
-            for text in _strings(batch):
-                ids = encoder.encode(text)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoder.decode(ids).encode()).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(ids: bytes, text: str, met: int, encoded: int) -> tuple:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), met, encoded
 
-    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(_rows(documents(spark, sf_dir), "doc_id", "text"), None, None, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks long, n_chunks_encoded long", digest)
 
 
 # ---- edit-aware counting

@@ -34,6 +34,25 @@ def test_encode_documents_keeps_every_row(docs, rows, nothing):
     assert tokens.encode_documents(nothing).count() == 0
 
 
+def test_shared_chunks_are_encoded_once_for_all(spark, docs, rows, tmp_path):
+    """Digests of the query are those of the library, and chunks that tasks share come from the exchange."""
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    library = tokens.tokenizer(tokens.public_path(tokens.BYTE_BPE))
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.op9_bpe(spark, str(tmp_path)).collect())
+    want = []
+    for i, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want)
+    table = tokens._rows(spark.read.parquet(str(tmp_path / "documents.parquet")), "doc_id", "text")
+    shared = tokens._shared_table(table, None, None).value
+    assert shared and len(tokens._shared_table(table, None, None, most=2).value) == 2
+    encoder = tokens.ChunkEncoder()
+    encoder.shared = shared
+    base = dict(rows)[7]
+    assert np.frombuffer(encoder.encode(base), "<u4").tolist() == library.encode(base, add_special_tokens=False).ids and encoder.encoded == 0
+
+
 def test_count_tree_follows_edits(rows):
     counts = tokens.pretoken_counts(tokens.public_path(tokens.BYTE_BPE), tokens.public_path(tokens.BYTE_RANKS))
     library = tokens.byte_encoder(tokens.public_path(tokens.BYTE_BPE), tokens.public_path(tokens.BYTE_RANKS))[1]
