@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .schema import EDGES, NODES, SCHEMA_VERSION, compare_versions
 
@@ -25,8 +24,10 @@ class CodeGraph:
         """One node for each qualified name: of several the last one read."""
         if "ord" not in self.nodes.columns:
             return self.nodes.dropDuplicates(["qualified_name"])
-        last = Window.partitionBy("qualified_name").orderBy(F.desc("ord"))
-        return self.nodes.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+        # Combined map-side, unlike a sort of whole nodes; columns that a caller does not read are pruned from the struct.
+        rest = [c for c in self.nodes.columns if c != "qualified_name"]
+        last = self.nodes.groupBy("qualified_name").agg(F.max_by(F.struct(*rest), "ord").alias("_n"))
+        return last.select(*(F.col("qualified_name") if c == "qualified_name" else F.col(f"_n.{c}").alias(c) for c in self.nodes.columns))
 
     def save(self, path: str) -> None:
         """Edges by kind, so that an operator reads the kinds it needs."""

@@ -7,17 +7,21 @@ executor repeats one level.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..graph import CodeGraph, file_of, round2
 from ..plans.scratch import cut
 from ..schema import DEFAULT_CONFIDENCE, DEFAULT_DEPTH
 
 
-def _impact_edges(graph: CodeGraph, least: float) -> DataFrame:
+def impact_edges(graph: CodeGraph, least: float) -> DataFrame:
     """(from, to, kind, conf): what a change at ``from`` reaches in one step."""
     hidden = graph.known().filter(F.col("is_exported") == F.lit(False)).select(F.col("qualified_name").alias("target_qualified")).withColumn("hidden", F.lit(True))
     calls = graph.of_kind("CALLS").filter(F.coalesce("confidence", F.lit(1.0)) >= least).join(hidden, "target_qualified", "left")
@@ -32,15 +36,15 @@ def _impact_edges(graph: CodeGraph, least: float) -> DataFrame:
     return out.groupBy("from", "to", "kind").agg(F.max("conf").alias("conf"))
 
 
-def blast_radius(graph: CodeGraph, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, min_confidence: float = DEFAULT_CONFIDENCE, contract_breaking: DataFrame | None = None) -> DataFrame:
+def blast_radius(graph: CodeGraph, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, min_confidence: float = DEFAULT_CONFIDENCE, contract_breaking: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """(qualified_name, depth, confidence, kind, origin, category) of what the ``seeds`` (column qualified_name) reach.
 
     Depth is the fewest steps; confidence the best product along a path found
     level by level. A better path that comes later raises the confidence of a
     node and leaves its depth, and its neighbours are not visited again. Ties
-    go to the first kind and origin by name.
+    go to the first kind and origin by name. ``steps``: impact edges of an earlier walk, to use them again.
     """
-    steps = cut(_impact_edges(graph, min_confidence))
+    steps = cut(impact_edges(graph, min_confidence)) if steps is None else steps
     seeds = cut(seeds.select("qualified_name").distinct())
     seed_nodes = seeds.withColumnRenamed("qualified_name", "to")
     frontier = seeds.select(F.col("qualified_name").alias("from"), F.lit(1.0).alias("acc"), F.col("qualified_name").alias("origin"))
@@ -84,45 +88,137 @@ def entry_points(graph: CodeGraph, type_: str | None = None) -> DataFrame:
     return (tests if type_ == "test" else http if type_ == "http" else tests.union(http)).distinct()
 
 
-def flow_members(graph: CodeGraph, entries: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(entry, type, node, depth): what each entry reaches over CALLS; all entries walk at once."""
+#: Entries that walk together as the bits of one row, and the 64-bit words they take.
+BLOCK, WORDS = 1024, 16
+_W = [f"w{k}" for k in range(WORDS)]
+
+
+@dataclass(frozen=True)
+class FlowMembers:
+    """What entries reach. ``entries``: (entry, type, block, bit); ``levels``: (node, block, depth, w0 ...), a set bit
+    for each entry of the block that meets the node first at that depth."""
+
+    entries: DataFrame
+    levels: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(entry, type, node, depth), one row a member."""
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, bit = np.nonzero(_bits(batch))
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("block").take(at), batch.column("depth").take(at), pa.array(bit.astype(np.int32))], ["node", "block", "depth", "bit"])
+
+        found = self.levels.mapInArrow(unpack, "node string, block long, depth int, bit int")
+        return found.join(self.entries, ["block", "bit"]).select("entry", "type", "node", "depth")
+
+
+def _bits(batch: pa.RecordBatch) -> np.ndarray:
+    """(rows, BLOCK) of zeros and ones from the words of a batch."""
+    words = np.stack([batch.column(w).to_numpy(zero_copy_only=False).astype("<i8") for w in _W], 1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def _by_entry(levels: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, type, n, depth): set bits of each entry and the greatest depth that has one, summed in tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, bits, depth = batch.column("block").to_numpy(), _bits(batch), batch.column("depth").to_numpy()
+            for block in np.unique(blocks).tolist():
+                here = blocks == block
+                n = bits[here].sum(axis=0, dtype=np.int64)
+                deep = (bits[here] * depth[here][:, None].astype(np.int32)).max(axis=0)
+                held = sums.setdefault(block, np.zeros((2, BLOCK), np.int64))
+                held[0] += n
+                held[1] = np.maximum(held[1], deep)
+        for block, (n, deep) in sums.items():
+            bit = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bit), block)), pa.array(bit.astype(np.int32)), pa.array(n[bit]), pa.array(deep[bit].astype(np.int32))], ["block", "bit", "n", "depth"])
+
+    summed = levels.mapInArrow(count, "block long, bit int, n long, depth int").groupBy("block", "bit").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
+    return summed.join(entries, ["block", "bit"]).select("entry", "type", "n", "depth")
+
+
+def _any(*keys: str):
+    return lambda df: df.groupBy(*keys).agg(*(F.bit_or(w).alias(w) for w in _W))
+
+
+def flow_members(graph: CodeGraph, entries: DataFrame, max_depth: int = 10) -> FlowMembers:
+    """What each entry reaches over CALLS. All entries walk at once, BLOCK of them in the bits of a row, so that a step
+    is one join of edges with nodes and blocks, whatever the number of entries that meet a node."""
     calls = cut(graph.of_kind("CALLS").select(F.col("source_qualified").alias("node"), F.col("target_qualified").alias("next")).distinct())
-    seen = cut(entries.select("entry", "type", F.col("entry").alias("node"), F.lit(0).alias("depth")))
-    frontier = seen
+    entries = cut(entries.select("entry", "type").distinct())
+    groups = max(1, entries.count() // (BLOCK // 2))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("entry", "type")) - 1
+    numbered = entries.withColumn("part", F.pmod(F.xxhash64("entry", "type"), F.lit(groups))).withColumn("rank", rank)
+    # A part that is larger than a block by chance goes on in a block of its own.
+    numbered = cut(numbered.select("entry", "type", (F.col("part") + groups * F.floor(F.col("rank") / BLOCK)).cast("long").alias("block"), (F.col("rank") % BLOCK).cast("int").alias("bit")))
+    start = numbered.select(F.col("entry").alias("node"), "block", *(F.when(F.floor(F.col("bit") / 64) == k, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(_W)))
+    frontier = cut(_any("node", "block")(start))
+    seen, levels = frontier, frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(calls, "node").select("entry", "type", F.col("next").alias("node")).distinct()
-        frontier = cut(reached.join(seen.select("entry", "type", "node"), ["entry", "type", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = _any("node", "block")(frontier.join(calls, "node").select(F.col("next").alias("node"), "block", *_W))
+        known = seen.select("node", "block", *(F.col(w).alias(f"s{w}") for w in _W))
+        fresh = reached.join(known, ["node", "block"], "left").select("node", "block", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(w) for w in _W))
+        frontier = cut(fresh.filter(" OR ".join(f"{w} <> 0" for w in _W)))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        seen = cut(_any("node", "block")(seen.union(frontier)))
+        levels = levels.union(frontier.withColumn("depth", F.lit(depth)))
+    return FlowMembers(numbered, levels.select("node", "block", "depth", *_W))
 
 
-def flows(graph: CodeGraph, members: DataFrame, with_path: bool = False) -> DataFrame:
+def flows(graph: CodeGraph, members: FlowMembers, with_path: bool = False) -> DataFrame:
     """One row for each entry: depth, nodes, files of known nodes, criticality, and if asked for the path by depth and name."""
-    known = members.join(graph.known().select(F.col("qualified_name").alias("node"), "file_path"), "node", "left")
-    aggs = [F.max("depth").alias("depth"), F.count(F.lit(1)).alias("node_count"), F.count_distinct("file_path").alias("file_count")]
+    nodes = _by_entry(members.levels, members.entries).select("entry", "type", "depth", F.col("n").alias("node_count"))
+    known = graph.known().select(F.col("qualified_name").alias("node"), "file_path")
+    by_file = _any("file_path", "block")(members.levels.join(known, "node").filter("file_path IS NOT NULL")).withColumn("depth", F.lit(0))
+    files = _by_entry(by_file, members.entries).select("entry", "type", F.col("n").alias("file_count"))
+    out = nodes.join(files, ["entry", "type"], "left").fillna(0, ["file_count"])
     if with_path:
-        aggs.append(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node"))), lambda s: s["node"]).alias("path"))
-    return known.groupBy("entry", "type").agg(*aggs).withColumn("criticality", F.col("node_count") * F.col("file_count"))
+        paths = members.rows().groupBy("entry", "type").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node"))), lambda s: s["node"]).alias("path"))
+        out = out.join(paths, ["entry", "type"])
+    return out.withColumn("criticality", F.col("node_count") * F.col("file_count"))
 
 
 def flow_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total_flows"), F.count_if(F.col("type") == "test").alias("test_flows"), F.count_if(F.col("type") == "http").alias("http_flows"), (F.floor(F.avg("depth") * 10 + F.lit(0.5)) / F.lit(10.0)).alias("avg_depth"), F.max("criticality").alias("max_criticality"))
 
 
-def affected_flows(graph: CodeGraph, members: DataFrame, changed: DataFrame) -> DataFrame:
+def affected_flows(graph: CodeGraph, members: FlowMembers, changed: DataFrame) -> DataFrame:
     """Entries whose flow holds a changed symbol that is no test."""
     hit = changed.join(graph.nodes.filter("NOT is_test").select("qualified_name"), "qualified_name", "left_semi").select(F.col("qualified_name").alias("node"))
-    return members.join(hit, "node", "left_semi").select("entry", "type").distinct()
+    through = _any("block")(members.levels.join(hit, "node", "left_semi")).withColumn("depth", F.lit(0))
+    return _by_entry(through, members.entries).select("entry", "type")
 
 
-def score_blast(blast: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+def score_blast(blast: DataFrame, members: FlowMembers, found: DataFrame) -> DataFrame:
     """``blast`` with impact_score: confidence weighed by the most critical flow through a node, http before test."""
-    most = found.agg(F.greatest(F.max("criticality"), F.lit(1)).alias("most"))
-    through = members.select(F.col("node").alias("qualified_name"), "entry", "type").join(found.select("entry", "type", "criticality"), ["entry", "type"])
-    through = through.join(blast.select("qualified_name"), "qualified_name", "left_semi").groupBy("qualified_name").agg(F.max(F.when(F.col("type") == "http", F.col("criticality"))).alias("http"), F.max(F.when(F.col("type") == "test", F.col("criticality"))).alias("test"))
-    limit = most.first()[0] or 1
+    weights = members.entries.join(found.select("entry", "type", "criticality"), ["entry", "type"])
+    kinds = ("http", "test")
+    # The criticality of each bit of a block by type; a block has BLOCK of them.
+    per_block = weights.groupBy("block").agg(*(F.collect_list(F.when(F.col("type") == k, F.struct("bit", "criticality"))).alias(k) for k in kinds))
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, blocks = _bits(batch), batch.column("block").to_numpy()
+            out = {k: np.full(batch.num_rows, -1, np.int64) for k in kinds}
+            for block in np.unique(blocks).tolist():
+                here = np.flatnonzero(blocks == block)
+                for k in kinds:
+                    value = np.full(BLOCK, -1, np.int64)
+                    for x in batch.column(k)[int(here[0])].as_py():
+                        value[x["bit"]] = x["criticality"]
+                    out[k][here] = np.where(bits[here] > 0, value, -1).max(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(out[k], mask=out[k] < 0) for k in kinds)], ["node", *kinds])
+
+    limit = found.agg(F.greatest(F.max("criticality"), F.lit(1)).alias("most")).first()[0] or 1
+    through = members.levels.join(blast.select(F.col("qualified_name").alias("node")), "node", "left_semi")
+    through = _any("node", "block")(through).join(per_block, "block").mapInArrow(most, "node string, http long, test long")
+    through = through.groupBy(F.col("node").alias("qualified_name")).agg(F.max("http").alias("http"), F.max("test").alias("test"))
     weight = F.when(F.col("http").isNotNull(), F.least(F.col("http") / F.lit(limit), F.lit(1.0))).when(F.col("test").isNotNull(), F.lit(0.3) * F.least(F.col("test") / F.lit(limit), F.lit(1.0))).otherwise(0.1)
     return blast.join(through, "qualified_name", "left").withColumn("impact_score", round2(F.col("confidence") * weight)).drop("http", "test")
 
@@ -163,7 +259,8 @@ def shortest_path(graph: CodeGraph, start: str, end: str, kinds: Iterable[str] =
 def overlap(graph: CodeGraph, a: DataFrame, b: DataFrame, max_depth: int = DEFAULT_DEPTH, min_confidence: float = DEFAULT_CONFIDENCE) -> DataFrame:
     """(relation, qualified_name): shared_changed, a_impacts_b, b_impacts_a and shared_blast of two sets of changed symbols."""
     a, b = a.select("qualified_name").distinct(), b.select("qualified_name").distinct()
-    in_blast = [blast_radius(graph, s, max_depth, min_confidence).select("qualified_name") for s in (a, b)]
+    steps = cut(impact_edges(graph, min_confidence))
+    in_blast = [blast_radius(graph, s, max_depth, min_confidence, steps=steps).select("qualified_name") for s in (a, b)]
     marks = [d.withColumn(m, F.lit(True)) for d, m in ((a, "ca"), (b, "cb"), (in_blast[0], "ba"), (in_blast[1], "bb"))]
     every = marks[0]
     for m in marks[1:]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import directory, shared_prefix
+from ..functions.scalars import directory
 from ..plans.scratch import cut
 
 
@@ -32,22 +32,37 @@ def name_stats(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("definitions"), F.count_distinct("file").alias("files"))
 
 
+def _prefixes(path: str) -> Column:
+    """Leading parts of a file's directory with their number: from (0, '') to the whole."""
+    parts = F.split(directory(path), "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("prefix")))
+
+
 def closest(wanted: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """For each distinct (file, keys) of ``wanted`` the nearest of ``candidates``, with how many there are and the others, sorted.
+    """For each distinct (file, keys) of ``wanted`` the nearest of ``candidates``, with how many there are.
 
     Nearest: in the same directory, else with most leading path parts in common, the first in order among equals.
-    Many sites of a file share a name; the ranking is done once for them.
+    Candidates are reduced to the first one under each leading path, and each file asks for its own leading paths:
+    rows grow with the depth of directories, never with files times definitions of a name.
     """
-    pairs = wanted.select("file", *keys).distinct().join(candidates.withColumnRenamed("file", "def_file"), keys)
-    near = F.struct(
-        (-(directory("file") == directory("def_file")).cast("int")).alias("other_dir"),
-        F.when(directory("file") == directory("def_file"), F.lit(0)).otherwise(-shared_prefix(directory("file"), directory("def_file"))).alias("apart"),
-        F.col("ord"),
-        F.col("qualified"),
-        F.col("def_file"),
-    )
-    out = pairs.groupBy("file", *keys).agg(F.min(near).alias("m"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("qualified")).alias("every"))
-    return out.select("file", *keys, F.col("m.qualified").alias("target"), F.col("m.def_file").alias("target_file"), "n", F.array_except("every", F.array("m.qualified")).alias("alternatives"))
+    first = F.min(F.struct("ord", "qualified", F.col("file").alias("def_file"))).alias("m")
+    every = cut(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), first.alias("only")))
+    asked = cut(wanted.select("file", *keys).distinct().join(every, keys))
+    out = asked.filter("n = 1").select("file", *keys, F.col("only").alias("m"), "n")
+    several = asked.filter("n > 1").select("file", *keys, "n")
+    if not several.isEmpty():
+        crowd = candidates.join(every.filter("n > 1").select(*keys), keys, "left_semi")
+        here = crowd.groupBy(*keys, directory("file").alias("dir")).agg(first)
+        under = crowd.withColumn("p", F.explode(_prefixes("file"))).groupBy(*keys, F.col("p.depth").alias("depth"), F.col("p.prefix").alias("prefix")).agg(first)
+        beside = several.withColumn("dir", directory("file")).join(here, [*keys, "dir"]).select("file", *keys, "n", F.lit(1 << 20).alias("depth"), "m")
+        along = several.withColumn("p", F.explode(_prefixes("file"))).select("file", *keys, "n", F.col("p.depth").alias("depth"), F.col("p.prefix").alias("prefix")).join(under, [*keys, "depth", "prefix"]).select("file", *keys, "n", "depth", "m")
+        out = out.union(beside.union(along).groupBy("file", *keys).agg(F.max_by("m", "depth").alias("m"), F.max("n").alias("n")))
+    return out.select("file", *keys, F.col("m.qualified").alias("target"), F.col("m.def_file").alias("target_file"), "n")
+
+
+def everyone(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, every): all candidates of keys that have several, sorted; joined once outcomes are known, as it is wide."""
+    return candidates.groupBy(*keys).agg(F.sort_array(F.collect_set("qualified")).alias("every")).filter(F.size("every") > 1)
 
 
 def members(symbols: DataFrame) -> DataFrame:
@@ -70,10 +85,9 @@ def ancestors(hierarchy: DataFrame, levels: int = 8) -> DataFrame:
     return out.filter("type <> ancestor").groupBy("type", "ancestor").agg(F.min("level").alias("level"))
 
 
-def _found(target: str, confidence: Column | float, tier: str, alternatives: Column | None = None) -> Column:
+def _found(target: str, confidence: Column | float, tier: str) -> Column:
     conf = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    none = F.lit(None).cast("array<string>")
-    return F.when(F.col(target).isNotNull(), F.struct(F.col(target).alias("target"), conf.cast("double").alias("confidence"), F.lit(tier).alias("tier"), (none if alternatives is None else F.when(F.size(alternatives) > 0, alternatives)).alias("alternatives")))
+    return F.when(F.col(target).isNotNull(), F.struct(F.col(target).alias("target"), conf.cast("double").alias("confidence"), F.lit(tier).alias("tier")))
 
 
 def implementation_names(language: str, type_: str) -> Column:
@@ -112,7 +126,7 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, h
     def typed(column: str, prefix: str) -> DataFrame:
         wanted = sites.filter(F.col(column).isNotNull()).select("file", F.col(column).alias("type"), F.col("call_name").alias("name"))
         near = closest(wanted, owned, ["type", "name"])
-        return near.select("file", F.col("type").alias(column), F.col("name").alias("call_name"), F.col("target").alias(f"{prefix}_target"), F.col("n").alias(f"{prefix}_n"), F.col("alternatives").alias(f"{prefix}_alt"))
+        return near.select("file", F.col("type").alias(column), F.col("name").alias("call_name"), F.col("target").alias(f"{prefix}_target"), F.col("n").alias(f"{prefix}_n"))
 
     def inherited(column: str, prefix: str) -> DataFrame:
         wanted = sites.filter(F.col(column).isNotNull()).select("file", F.col(column).alias("own"), F.col("call_name").alias("name")).distinct()
@@ -136,7 +150,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, h
     out = out.join(imported, ["file", "call_name"], "left").join(there, ["target_file", "call_name"], "left")
     out = out.join(one.select("file", F.col("name").alias("call_name"), F.col("qualified").alias("sf_target")), ["file", "call_name"], "left")
     few = stats.filter((F.col("definitions") == 1) | (F.col("files") < crowded)).select(F.col("name"))
-    near = closest(sites.select("file", F.col("call_name").alias("name")), symbols.join(few, "name", "left_semi"), ["name"]).select("file", F.col("name").alias("call_name"), F.col("target").alias("g_target"), F.col("target_file").alias("g_file"), F.col("n").alias("g_n"), F.col("alternatives").alias("g_alt"))
+    usable = symbols.join(few, "name", "left_semi")
+    near = closest(sites.select("file", F.col("call_name").alias("name")), usable, ["name"]).select("file", F.col("name").alias("call_name"), F.col("target").alias("g_target"), F.col("target_file").alias("g_file"), F.col("n").alias("g_n"))
     out = out.join(near, ["file", "call_name"], "left").join(stats.select(F.col("name").alias("call_name"), "definitions"), "call_name", "left")
     guess = F.when(F.col("target_file").isNotNull(), F.concat_ws("::", "target_file", "call_name"))
     out = out.withColumn("im_guess", guess).withColumn("cl_in_file", F.when(F.col("cl_target").startswith(F.concat(F.col("file"), F.lit("::"))), F.col("cl_target")))
@@ -144,12 +159,16 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, import_map: DataFrame, h
     cascade = [
         _found("cl_in_file", 0.9, "same"), _found("cl_target", 0.85, "import"), _found("cl_up", 0.85, "same"), _found("im_exact", 0.9, "import"), _found("im_guess", 0.7, "import"), _found("sf_target", 0.85, "same"),
         F.when(F.col("g_n") == 1, _found("g_target", F.when(F.col("g_file").startswith(F.concat(directory("file"), F.lit("/"))), 0.6).otherwise(0.5), "unique")),
-        F.when(F.col("g_n") > 1, _found("g_target", 0.3, "ambiguous", F.col("g_alt"))),
+        F.when(F.col("g_n") > 1, _found("g_target", 0.3, "ambiguous")),
     ]
-    found = F.coalesce(_found("rc_target", F.when(F.col("rc_n") == 1, 0.95).otherwise(0.9), "receiver", F.col("rc_alt")), _found("rc_up", 0.85, "receiver"), _found("di_target", 0.95, "di"), _found("di_up", 0.9, "di"), _found("di_impl", 0.9, "di"), _found("di_guess", 0.95, "di"), F.when(~quiet, F.coalesce(*cascade)))
+    found = F.coalesce(_found("rc_target", F.when(F.col("rc_n") == 1, 0.95).otherwise(0.9), "receiver"), _found("rc_up", 0.85, "receiver"), _found("di_target", 0.95, "di"), _found("di_up", 0.9, "di"), _found("di_impl", 0.9, "di"), _found("di_guess", 0.95, "di"), F.when(~quiet, F.coalesce(*cascade)))
     out = out.withColumn("r", found)
     outcome = F.when(F.col("r").isNotNull(), F.col("r.tier")).when(quiet, "noise").when(F.col("definitions") > 1, "too_common").otherwise("external")
-    return out.select(*sites.columns, "r.target", "r.confidence", "r.tier", "r.alternatives", outcome.alias("outcome"))
+    out = out.select(*sites.columns, "r.target", "r.confidence", "r.tier", outcome.alias("outcome"), F.when(F.col("r.tier") == "ambiguous", F.col("call_name")).alias("g_of"), F.when((F.col("r.target") == F.col("rc_target")) & (F.col("rc_n") > 1), F.col("receiver_type")).alias("rc_of"))
+    out = out.join(everyone(usable, ["name"]).select(F.col("name").alias("g_of"), F.col("every").alias("g_every")), "g_of", "left")
+    out = out.join(everyone(owned, ["type", "name"]).select(F.col("type").alias("rc_of"), F.col("name").alias("call_name"), F.col("every").alias("rc_every")), ["rc_of", "call_name"], "left")
+    others = F.array_except(F.coalesce("g_every", "rc_every"), F.array("target"))
+    return out.select(*sites.columns, "target", "confidence", "tier", F.when(F.size(others) > 0, others).alias("alternatives"), "outcome")
 
 
 def tier_distribution(resolved: DataFrame) -> DataFrame:
