@@ -132,7 +132,7 @@ def _packed(buckets: dict[int, list[bytes]], names: list[str]) -> pa.RecordBatch
 
 
 def _blob(table: pa.Table, name: str, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
 
 
 #: What a pass looks for: (bytes of a window, whether the bytes are word hashes).
@@ -350,26 +350,38 @@ def _second_pass(rows: DataFrame, found: list[DataFrame], plans: list[Plan], n:
         asked = packed if asked is None else asked.join(packed, ["doc", "th"], "full")
     if not any(x for x, _ in sizes):
         return [each.filter("key IS NULL").select("doc", "th", "lo", "n").limit(0) for each in found]
-    buckets = [max(1, -(-x * 600 // STRIP_BYTES)) for x, _ in sizes]
+    # Buckets of strips to sort, and behind them buckets of windows of crowded anchors.
+    buckets = [(max(1, -(-x * 600 // STRIP_BYTES)), max(1, -(-wide * 120 * WINDOW.itemsize // STRIP_BYTES))) for x, wide in sizes]
     texts = rows.select("doc", "th", "text").join(stash(asked), ["doc", "th"])
 
-    def strips(batches):
+    def fetch(batches):
         for batch in batches:
             out = []
             docs, ths, texts_ = batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts_of(batch)
-            for plan, ((length, by_words), each) in enumerate(zip(plans, buckets, strict=True)):
+            for plan, ((length, by_words), (narrow, wide_n)) in enumerate(zip(plans, buckets, strict=True)):
                 wanted_here = batch.column(f"packed{plan}").to_pylist()
+                windows: list[np.ndarray] = []
                 for doc, th, raw, text in zip(docs, ths, wanted_here, _streams([t if r else b"" for t, r in zip(texts_, wanted_here, strict=True)], by_words), strict=True):
-                    for lo, k, rel, key, wanted, wide in np.frombuffer(raw or b"", ASKED).tolist():
+                    records = np.frombuffer(raw or b"", ASKED)
+                    for lo, k, rel, key, wanted, wide in records.tolist():
                         if not wide:
-                            out.append((plan, (key & 0xFFFFFFFFFFFFFFFF) // 0x9E3779B1 % each, doc, th, lo, rel, key, bool(wanted), text[lo : lo + k - 1 + length]))
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["plan", "bucket", "doc", "th", "lo", "rel", "key", "wanted", "strip"])
+                            out.append((plan, (key & 0xFFFFFFFFFFFFFFFF) // 0x9E3779B1 % narrow, doc, th, lo, rel, key, bool(wanted), text[lo : lo + k - 1 + length], None, None))
+                    if records["wide"].any():
+                        windows += _windows_of(doc, th, text, records[records["wide"] > 0], length)
+                if windows:
+                    for b, (lead, spans) in _dealt_windows(np.concatenate(windows), length, wide_n).items():
+                        out.append((plan, narrow + b, *[None] * 7, lead, spans))
+            columns = list(zip(*out, strict=True)) or [()] * 11
+            kinds = (pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["plan", "bucket", "doc", "th", "lo", "rel", "key", "wanted", "strip", "windows", "spans"])
 
     def decide(table: pa.Table) -> pa.Table:
         plan = table.column("plan")[0].as_py()
-        length, pieces = plans[plan][0], table.column("strip").to_pylist()
+        length, (narrow, _) = plans[plan][0], buckets[plan]
+        if table.column("bucket")[0].as_py() >= narrow:
+            spans = _met_windows(_blob(table, "windows", WINDOW), _blob(table, "spans", SPAN), length)
+            return pa.table({"plan": pa.array(np.full(len(spans), plan), pa.int64()), **{c: pa.array(spans[c].astype(np.int64), pa.int64()) for c in ("doc", "th", "lo", "n")}})
+        pieces = table.column("strip").to_pylist()
         again = repeated_windows(pieces, table.column("rel").to_numpy().astype(np.int64), np.unique(table.column("key").to_numpy(), return_inverse=True)[1], length)
         out = []
         for doc, th, lo, wanted, flags in zip(*(table.column(c).to_pylist() for c in ("doc", "th", "lo", "wanted")), again, strict=True):
@@ -378,62 +390,50 @@ def _second_pass(rows: DataFrame, found: list[DataFrame], plans: list[Plan], n:
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("plan", "doc", "th", "lo", "n"), columns, strict=True)})
 
-    fetched = texts.mapInArrow(strips, "plan int, bucket long, doc long, th long, lo long, rel int, key long, wanted boolean, strip binary")
+    fetched = texts.mapInArrow(fetch, "plan int, bucket long, doc long, th long, lo long, rel int, key long, wanted boolean, strip binary, windows binary, spans binary")
     decided = stash(fetched.groupBy("plan", "bucket").applyInArrow(decide, "plan long, doc long, th long, lo long, n long"))
-    out = []
-    for k, (plan, (_, wide)) in enumerate(zip(plans, sizes, strict=True)):
-        spans = decided.filter(F.col("plan") == k).select("doc", "th", "lo", "n")
-        if wide:
-            spans = spans.union(_wide(texts.withColumnRenamed(f"packed{k}", "packed").filter("packed IS NOT NULL"), plan, max(1, -(-wide * 120 * WINDOW.itemsize // STRIP_BYTES))))
-        out.append(spans)
-    return out
+    return [decided.filter(F.col("plan") == k).select("doc", "th", "lo", "n") for k in range(len(plans))]
 
 
-def _wide(texts: DataFrame, plan: Plan, n: int) -> DataFrame:
-    """Windows of crowded buckets, dealt out by content."""
-    length, by_words = plan
+def _windows_of(doc: int, th: int, text: bytes, asked: np.ndarray, length: int) -> list[np.ndarray]:
+    """Records of all windows of the strips asked for."""
+    prefix, out = prefix_hash(np.frombuffer(text, np.uint8)), []
+    for lo, k, _, key, *_ in asked.tolist():
+        at = np.arange(lo, lo + k)
+        w = np.empty(k, WINDOW)
+        w["key"], w["hash"], w["doc"], w["th"], w["lo"], w["n"] = key & 0xFFFFFFFFFFFFFFFF, window_hash(prefix, at, at + length), doc, th, at, 1
+        out.append(w)
+    return out
 
-    def deal(batches):
-        for batch in batches:
-            held = []
-            for doc, th, raw, text in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("packed").to_pylist(), _streams(texts_of(batch), by_words), strict=True):
-                asked = np.frombuffer(raw, ASKED)
-                asked = asked[asked["wide"] > 0]
-                if len(asked):
-                    prefix = prefix_hash(np.frombuffer(text, np.uint8))
-                    for lo, k, _, key, *_ in asked.tolist():
-                        at = np.arange(lo, lo + k)
-                        w = np.empty(k, WINDOW)
-                        w["key"], w["hash"], w["doc"], w["th"], w["lo"], w["n"] = key & 0xFFFFFFFFFFFFFFFF, window_hash(prefix, at, at + length), doc, th, at, 1
-                        held.append(w)
-            buckets: dict[int, list[bytes]] = {}
-            if held:
-                windows, run, first = _equal_runs(np.concatenate(held), "key", "hash")
-                lead, others = windows[first].copy(), windows[~first]
-                lead["n"] = np.bincount(run)
-                spans = np.empty(len(others), SPAN)
-                for c in ("doc", "th", "lo"):
-                    spans[c] = others[c]
-                spans["n"] = length
-                for b, r in packed_rows((lead["hash"] % np.uint64(n)).astype(np.int64), lead):
-                    buckets.setdefault(b, [b"", b""])[0] = r.tobytes()
-                for b, r in packed_rows((mix(spans["doc"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), spans):
-                    buckets.setdefault(b, [b"", b""])[1] = r.tobytes()
-            yield _packed(buckets, ["windows", "spans"])
 
-    def meet(table: pa.Table) -> pa.Table:
-        windows, spans = _blob(table, "windows", WINDOW), _blob(table, "spans", SPAN)
-        if len(windows):
-            windows, run, _ = _equal_runs(windows, "key", "hash")
-            again = windows[np.bincount(run, weights=windows["n"])[run] > 1]
-            more = np.empty(len(again), SPAN)
-            for c in ("doc", "th", "lo"):
-                more[c] = again[c]
-            more["n"] = length
-            spans = np.concatenate([spans, more])
-        return pa.table({c: pa.array(spans[c].astype(np.int64), pa.int64()) for c in ("doc", "th", "lo", "n")})
-
-    return texts.mapInArrow(deal, "bucket long, windows binary, spans binary").groupBy("bucket").applyInArrow(meet, "doc long, th long, lo long, n long")
+def _dealt_windows(windows: np.ndarray, length: int, n: int) -> dict[int, list[bytes]]:
+    """Windows dealt out by content: [one of each run of equal ones with their number, spans of the others] by bucket."""
+    windows, run, first = _equal_runs(windows, "key", "hash")
+    lead, others = windows[first].copy(), windows[~first]
+    lead["n"] = np.bincount(run)
+    spans = np.empty(len(others), SPAN)
+    for c in ("doc", "th", "lo"):
+        spans[c] = others[c]
+    spans["n"] = length
+    buckets: dict[int, list[bytes]] = {}
+    for b, r in packed_rows((lead["hash"] % np.uint64(n)).astype(np.int64), lead):
+        buckets.setdefault(b, [b"", b""])[0] = r.tobytes()
+    for b, r in packed_rows((mix(spans["doc"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), spans):
+        buckets.setdefault(b, [b"", b""])[1] = r.tobytes()
+    return buckets
+
+
+def _met_windows(windows: np.ndarray, spans: np.ndarray, length: int) -> np.ndarray:
+    """Spans of windows that occur twice, with those found before."""
+    if not len(windows):
+        return spans
+    windows, run, _ = _equal_runs(windows, "key", "hash")
+    again = windows[np.bincount(run, weights=windows["n"])[run] > 1]
+    more = np.empty(len(again), SPAN)
+    for c in ("doc", "th", "lo"):
+        more[c] = again[c]
+    more["n"] = length
+    return np.concatenate([spans, more])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
