@@ -34,11 +34,12 @@ def parser() -> argparse.ArgumentParser:
         for flags, options in args:
             sub.add_argument(*flags.split(), **options)
 
+    chosen = (("--repo", {}), ("--base", {}), ("--risk-config", {}))
     many, number, real = {"nargs": "*", "default": []}, lambda d: {"type": int, "default": d}, lambda d: {"type": float, "default": d}
     command("parse", ("repo", {}), ("--files", many), ("--include", many), ("--exclude", many), ("--max-files", number(None)), ("--allow-partial", {"action": "store_true"}), graph=False)
     command("update", ("repo", {}))
-    command("analyze", ("--files", many), ("--max-depth", number(3)), ("--min-confidence", real(0.5)))
-    command("context", ("--old", {}), ("--files", many), ("--diff", {}), ("--format", {"choices": ("text", "xml", "json"), "default": "text"}), ("--max-depth", number(3)), ("--min-confidence", real(0.5)))
+    command("analyze", ("--files", many), *chosen, ("--max-depth", number(3)), ("--min-confidence", real(0.5)))
+    command("context", ("--old", {}), ("--files", many), *chosen, ("--diff", {}), ("--format", {"choices": ("text", "xml", "json"), "default": "text"}), ("--max-depth", number(3)), ("--min-confidence", real(0.5)))
     command("diff", ("--old", {"required": True}), ("--files", many))
     command("communities", ("--depth", number(2)), ("--min-size", number(3)), ("--topological", {"action": "store_true"}))
     command("pr-overlap", ("--a", many), ("--b", many), ("--max-depth", number(3)))
@@ -72,13 +73,20 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | str | None
         made = build.update(g, discovery.discover(spark, args.repo), build.manifest_of(args.repo))
         made.save_json(args.out) if args.out.endswith(".json") else made.save(args.out)
         return None
-    changed = files(args.files) if getattr(args, "files", None) else g.nodes.select("file_path").distinct()
+    names = list(getattr(args, "files", None) or [])
+    if getattr(args, "base", None):  # what git says has changed since then
+        names += discovery.git_changed(args.repo or ".", args.base)
+    changed = files(names) if names or getattr(args, "base", None) else g.nodes.select("file_path").distinct()
     if args.command in ("analyze", "context"):
         hunks = None
         if getattr(args, "diff", None):
             with open(args.diff, encoding="utf-8", errors="replace") as f:
                 hunks = discovery.diff_hunks_of(spark, f.read())
-        parts = render.change_context(g, changed, read(args.old) if getattr(args, "old", None) else None, hunks, args.max_depth, args.min_confidence)
+        risk = None
+        if args.risk_config:
+            with open(args.risk_config, encoding="utf-8") as f:
+                risk = changes.risk_config(json.load(f))
+        parts = render.change_context(g, changed, read(args.old) if getattr(args, "old", None) else None, hunks, args.max_depth, args.min_confidence, risk=risk)
         style = getattr(args, "format", "json")
         if style != "json":
             return {"text": render.text, "xml": render.xml}[style](parts)

@@ -80,13 +80,6 @@ def tokenize_top_level(text: str) -> list[str]:
     return [p for p in [*out, last] if p]
 
 
-def xml_escape(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        c = F.replace(c, F.lit(raw), F.lit(safe))
-    return c
-
-
 def shared_prefix(a: Column, b: Column) -> Column:
     """Number of leading path parts that two paths share."""
     pairs = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: x.eqNullSafe(y) & x.isNotNull())

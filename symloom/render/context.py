@@ -16,8 +16,8 @@ MAX_FUNCTIONS, MAX_FUNCTIONS_XML, MAX_CALLERS, MAX_CALLEES, MAX_FLOWS, MAX_BLAST
 BUDGET = 20_000
 
 
-def change_context(new: CodeGraph, changed: DataFrame, old: CodeGraph | None = None, hunks: DataFrame | None = None, max_depth: int = 3, min_confidence: float = 0.5, flow_depth: int = 10) -> dict:
-    """All parts of a change's context as DataFrames, by name."""
+def change_context(new: CodeGraph, changed: DataFrame, old: CodeGraph | None = None, hunks: DataFrame | None = None, max_depth: int = 3, min_confidence: float = 0.5, flow_depth: int = 10, risk: tuple[dict, dict] | None = None) -> dict:
+    """All parts of a change's context as DataFrames, by name; ``risk``: weights and caps of the score."""
     out: dict = {}
     contracts = None
     if old is not None:
@@ -33,7 +33,7 @@ def change_context(new: CodeGraph, changed: DataFrame, old: CodeGraph | None = N
     flows = reach.flows(new, members)
     total = reach.blast_summary(new, seeds, blast)
     out |= {"seeds": seeds, "flows": flows, "blast": reach.score_blast(blast, members, flows), "summary": total, "affected": reach.affected_flows(new, members, seeds), "gaps": lookup.test_gaps(new, changed)}
-    out |= {"risk": changes.risk_score(new, changed, total.first()["total_functions"]), "inheritance": lookup.inheritance(new, changed), "functions": changes.enriched_functions(new, changed, min_confidence), "imports": lookup.changed_imports(new, changed, old)}
+    out |= {"risk": changes.risk_score(new, changed, total.first()["total_functions"], *(risk or ())), "siblings": changes.siblings(new).join(seeds, "qualified_name", "left_semi"), "inheritance": lookup.inheritance(new, changed), "functions": changes.enriched_functions(new, changed, min_confidence), "imports": lookup.changed_imports(new, changed, old)}
     return out
 
 

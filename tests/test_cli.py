@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import subprocess
 
 import pytest
 
 from symloom import cli
 from symloom.graph import CodeGraph
+from symloom.operators import changes
 from symloom.render import context
+from symloom.sources import discovery
 
 FILES = {"src/a.py": "class Base:\n    def save(self):\n        return 1\n\n\ndef helper(x):\n    if x:\n        return x\n    return 0\n", "src/b.py": "from .a import helper\n\n\ndef run(x):\n    return helper(x)\n", "src/test_b.py": "from .b import run\n\n\ndef test_run():\n    assert run(1)\n"}
 
@@ -57,3 +60,24 @@ def test_signatures_as_differences():
     assert context.params_diff("(a)", "(a, b)") == "(a) -> (a, b)"
     long = "(" + ", ".join(f"parameter{k}: int" for k in range(9)) + ")"
     assert context.params_diff(long, long[:-1] + ", more: str)") == "+more: str"
+
+
+def test_changes_by_git_and_risk_settings(spark, made, tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    for k in range(2):
+        (tmp_path / "src").mkdir(exist_ok=True)
+        (tmp_path / "src" / "a.py").write_text(FILES["src/a.py"] + "\n" * k)
+        (tmp_path / "src" / "b.py").write_text(FILES["src/b.py"])
+        git("add", "-A")
+        git("commit", "-q", "-m", str(k))
+    assert discovery.git_changed(str(tmp_path), "HEAD~1") == ["src/a.py"]
+    assert discovery.git_file(str(tmp_path), "HEAD~1", "src/b.py") == FILES["src/b.py"] and discovery.git_file(str(tmp_path), "HEAD", "none") is None
+    settings = tmp_path / "risk.json"
+    settings.write_text('{"weights": {"blast_radius": 0.0, "test_gaps": 1.0, "complexity": 0.0, "inheritance": 0.0}}')
+    found = json.loads(call(spark, made, "context", "--repo", str(tmp_path), "--base", "HEAD~1", "--risk-config", str(settings), "--format", "json"))
+    assert {r["qualified_name"].split("::")[0] for r in found["seeds"]} == {"src/a.py"} and found["risk"][0]["score"] == found["risk"][0]["test_gaps"]
+    with pytest.raises(ValueError):
+        changes.risk_config({"weights": {"other": 1.0}})
