@@ -60,8 +60,8 @@ CHUNK, PAGE, FANOUT = 512, 32, 8
 LEAST_BITS, MOST_BITS = 1024, 1 << 16
 #: Shingles of one side of a block; it bounds a task's memory and says nothing about which pairs meet.
 PART = 1 << 19
-#: Keys that a task holds before it combines and sends them, and text of a bucket.
-HELD_KEYS, BUCKET_BYTES = 1_000_000, 32 << 20
+#: Keys that a task holds before it combines and sends them, text of a bucket of segment keys, and of one of shingles.
+HELD_KEYS, BUCKET_BYTES, SHINGLE_BYTES = 1_000_000, 16 << 20, 6 << 20
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -523,7 +523,7 @@ def _thinned(rows: DataFrame, groups: DataFrame, sizes: DataFrame, classes: Size
         if not before:
             return groups
         texts = rows.join(inside, "doc_id", "left_semi")
-        n = n_buckets(texts, "text", BUCKET_BYTES)
+        n = n_buckets(texts, "text", SHINGLE_BYTES)
         own = _small(_own_shingles(texts, width, n))
         counted = inside.join(sizes, "doc_id").join(own, "doc_id", "left")
         # A partner may lack n - ceil(t * n) shingles at most.
