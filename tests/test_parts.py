@@ -49,3 +49,16 @@ def test_affected_flows_walk_back_once(spark, monkeypatch):
             got = {r.entry for r in reach.affected_flows(g, reach.flow_members(g, reach.entry_points(g), max_depth), names(spark, hit)).collect()}
             is_test = {r[0] for r in g.nodes.filter("is_test").select("qualified_name").collect()}
             assert got == ({e.entry for e in reach.entry_points(g).collect() if hit in _plain(known, edges, e.entry, max_depth)[1]} if hit not in is_test else set())
+
+
+@pytest.mark.parametrize("max_depth", [2, 10])
+def test_scores_of_parts(spark, large, max_depth):
+    g, known, edges = _graph(spark, seed=4)
+    members = reach.flow_members(g, reach.entry_points(g), max_depth)
+    found = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in reach.entry_points(g).collect()}
+    limit = max(1, *(len(s) * f for _, s, f in found.values()))
+    blast = names(spark, *sorted(known)).selectExpr("qualified_name", "0.9D AS confidence")
+    for r in reach.score_blast(blast, members, reach.flows(g, members)).collect():
+        most = {t: max((len(s) * f for (_, kind), (_, s, f) in found.items() if kind == t and r.qualified_name in s), default=None) for t in ("http", "test")}
+        weight = most["http"] / limit if most["http"] is not None else 0.3 * (most["test"] / limit) if most["test"] is not None else 0.1
+        assert r.impact_score == int(0.9 * weight * 100 + 0.5) / 100
