@@ -36,18 +36,26 @@ def large(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(parts, "LARGE", 0)
         monkeypatch.setattr(reach, "BLOCKS", 1)
+        monkeypatch.setattr(communities, "MOST", 0)
     else:
         monkeypatch.setattr(reach, "_levels", lambda *a: pytest.fail("parts that fit a task walk by joins"))
     return request.param
 
 
-@pytest.mark.parametrize("max_depth", [2, 10])
-def test_flows_of_parts(spark, large, max_depth):
-    g, known, edges = _graph(spark)
-    entries = reach.entry_points(g).collect()
-    got = {(r.entry, r.type): (r.depth, r.node_count, r.file_count) for r in reach.flows(g, reach.flow_members(g, reach.entry_points(g), max_depth)).collect()}
-    plain = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in entries}
-    assert len(got) == len(entries) and got == {k: (d, len(s), f) for k, (d, s, f) in plain.items()}
+def test_forest_over_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(parts, "CHUNK", 7)
+    r = np.random.default_rng(7)
+    x, y = r.integers(-90, 90, (2, 120))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 5]), pa.array(y[k : k + 5])], ["a", "b"]) for k in range(0, 120, 5)]
+    got = {a: b for out in parts._span(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+    label = {int(v): int(v) for v in [*x, *y]}
+    for _ in label:
+        for a, b in zip(x.tolist(), y.tolist()):
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {int(v) for a, b in zip(x, y) if a != b for v in (a, b)}
+    assert {k: v for k, v in label.items() if k in linked} == {k: v for k, v in got.items() if k in linked}
 
 
 def test_affected_flows_walk_back_once(spark, monkeypatch):
@@ -73,17 +81,21 @@ def test_scores_of_parts(spark, large, max_depth):
         assert r.impact_score == int(0.9 * weight * 100 + 0.5) / 100
 
 
-def test_forest_over_chunks(monkeypatch):
-    import pyarrow as pa
+@pytest.mark.parametrize("max_depth", [2, 10])
+def test_flows_of_parts(spark, large, max_depth):
+    g, known, edges = _graph(spark)
+    entries = reach.entry_points(g).collect()
+    got = {(r.entry, r.type): (r.depth, r.node_count, r.file_count) for r in reach.flows(g, reach.flow_members(g, reach.entry_points(g), max_depth)).collect()}
+    plain = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in entries}
+    assert len(got) == len(entries) and got == {k: (d, len(s), f) for k, (d, s, f) in plain.items()}
 
-    monkeypatch.setattr(parts, "CHUNK", 7)
-    r = np.random.default_rng(7)
-    x, y = r.integers(-90, 90, (2, 120))
-    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 5]), pa.array(y[k : k + 5])], ["a", "b"]) for k in range(0, 120, 5)]
-    got = {a: b for out in parts._span(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
-    label = {int(v): int(v) for v in [*x, *y]}
-    for _ in label:
-        for a, b in zip(x.tolist(), y.tolist()):
-            label[a] = label[b] = min(label[a], label[b])
-    linked = {int(v) for a, b in zip(x, y) if a != b for v in (a, b)}
-    assert {k: v for k, v in label.items() if k in linked} == {k: v for k, v in got.items() if k in linked}
+
+def test_communities_of_numbered_nodes(spark, large, monkeypatch):
+    g, _, _ = _graph(spark, groups=4, size=20, seed=6)
+    weights = communities.weighted_graph(g)
+    whole = communities.connected_parts(weights, communities.louvain(weights)).collect()
+    sizes = [r.part for r in whole]
+    if not large:
+        monkeypatch.setattr(communities, "louvain", lambda *a: pytest.fail("numbered nodes move by joins"))
+    got = {(r.qualified_name, r.community) for r in communities.topological_communities(g, 2).collect()}
+    assert got and got == {(r.qualified_name, r.part) for r in whole if sizes.count(r.part) >= 2}
