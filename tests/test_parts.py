@@ -99,3 +99,10 @@ def test_communities_of_numbered_nodes(spark, large, monkeypatch):
         monkeypatch.setattr(communities, "louvain", lambda *a: pytest.fail("numbered nodes move by joins"))
     got = {(r.qualified_name, r.community) for r in communities.topological_communities(g, 2).collect()}
     assert got and got == {(r.qualified_name, r.part) for r in whole if sizes.count(r.part) >= 2}
+
+
+def test_flow_summary_of_parts(spark, large):
+    g, known, edges = _graph(spark, seed=2)
+    plain = [_plain(known, edges, e.entry, 10) for e in reach.entry_points(g).collect()]
+    got = reach.flow_summary(reach.flows(g, reach.flow_members(g, reach.entry_points(g)))).first()
+    assert (got.total_flows, got.max_criticality, got.avg_depth) == (len(plain), max(len(s) * f for _, s, f in plain), int(sum(d for d, _, _ in plain) / len(plain) * 10 + 0.5) / 10)
