@@ -106,3 +106,12 @@ def test_flow_summary_of_parts(spark, large):
     plain = [_plain(known, edges, e.entry, 10) for e in reach.entry_points(g).collect()]
     got = reach.flow_summary(reach.flows(g, reach.flow_members(g, reach.entry_points(g)))).first()
     assert (got.total_flows, got.max_criticality, got.avg_depth) == (len(plain), max(len(s) * f for _, s, f in plain), int(sum(d for d, _, _ in plain) / len(plain) * 10 + 0.5) / 10)
+
+
+def test_modularity_from_edges(spark):
+    g, _, _ = _graph(spark, seed=5)
+    for cut in (1, 2):
+        members = communities.directory_of("file_path", cut)
+        members = g.known().select("qualified_name", members.alias("community"))
+        assert communities.adjacent_modularity(g, members).first().q == pytest.approx(communities.modularity(communities.weighted_graph(g), members).first().q, abs=1e-12)
+    assert communities.adjacent_modularity(graph(spark, ["a::a"], []), names(spark, "a::a").selectExpr("qualified_name", "'c' AS community")).first().q == 0
