@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from symloom.operators import communities, parts, reach
+from symloom.operators import communities, parts, reach, walks
 
 from .test_graph import graph, names
 
@@ -115,3 +115,16 @@ def test_modularity_from_edges(spark):
         members = g.known().select("qualified_name", members.alias("community"))
         assert communities.adjacent_modularity(g, members).first().q == pytest.approx(communities.modularity(communities.weighted_graph(g), members).first().q, abs=1e-12)
     assert communities.adjacent_modularity(graph(spark, ["a::a"], []), names(spark, "a::a").selectExpr("qualified_name", "'c' AS community")).first().q == 0
+
+
+@pytest.mark.parametrize("max_depth", [2, 10])
+def test_large_parts_go_to_groups_of_entries(spark, monkeypatch, max_depth):
+    monkeypatch.setattr(parts, "LARGE", 10)
+    monkeypatch.setattr(walks, "BLOCK_EDGES", 7)
+    monkeypatch.setattr(reach, "_levels", lambda *a: pytest.fail("numbered nodes walk by joins"))
+    g, known, edges = _graph(spark, groups=2, size=40, seed=8)
+    members = reach.flow_members(g, reach.entry_points(g), max_depth)
+    flows = reach.flows(g, members)
+    assert members.large
+    plain = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in reach.entry_points(g).collect()}
+    assert {(r.entry, r.type): (r.depth, r.node_count, r.file_count) for r in flows.collect()} == {k: (d, len(s), f) for k, (d, s, f) in plain.items()}
