@@ -128,3 +128,18 @@ def test_large_parts_go_to_groups_of_entries(spark, monkeypatch, max_depth):
     assert members.large
     plain = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in reach.entry_points(g).collect()}
     assert {(r.entry, r.type): (r.depth, r.node_count, r.file_count) for r in flows.collect()} == {k: (d, len(s), f) for k, (d, s, f) in plain.items()}
+
+
+@pytest.mark.parametrize("max_depth", [2, 10])
+def test_scores_of_large_parts_come_in_rounds_over_blocks(spark, monkeypatch, max_depth):
+    monkeypatch.setattr(parts, "LARGE", 10)
+    monkeypatch.setattr(walks, "BLOCK_EDGES", 7)
+    g, known, edges = _graph(spark, groups=2, size=20, seed=9)
+    members = reach.flow_members(g, reach.entry_points(g), max_depth)
+    monkeypatch.setattr(reach, "_levels", lambda *a: pytest.fail("numbered nodes walk by joins"))
+    plain = {(e.entry, e.type): _plain(known, edges, e.entry, max_depth) for e in reach.entry_points(g).collect()}
+    asked = names(spark, *sorted(known)).select(parts.hashed("qualified_name", members.seed).alias("h"), "qualified_name")
+    weights = spark.createDataFrame([(*k, len(s) * f) for k, (_, s, f) in plain.items()], "entry string, type string, criticality long").select(parts.hashed("entry", members.seed).alias("h"), "type", "criticality")
+    got = {r.qualified_name: (r.http, r.test) for r in reach._most_critical(members, weights, asked.select("h")).join(asked, "h", "right").collect()}
+    assert members.large
+    assert got == {q: tuple(max((len(s) * f for (_, t), (_, s, f) in plain.items() if t == kind and q in s), default=None) for kind in ("http", "test")) for q in known}
