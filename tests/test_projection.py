@@ -73,3 +73,13 @@ def test_shortest_path_length_beyond_four_steps(spark, tables):
     assert walked(edges, start, 10)[end] == 8
     assert [r.length for r in queries.QUERIES["shortest_path_length"](spark, folder).collect()] == [8]
     assert [r.length for r in queries.QUERIES["shortest_path_length_depth4"](spark, folder).collect()] == [-1]
+
+
+def test_flow_summary_takes_calls_from_keys(spark):
+    """The pairs that flow_summary walks are those of the calls by name."""
+    from symloom.operators.parts import hashed
+
+    g = project(spark, "/root/testdata/sf0.001")
+    pairs = {tuple(r) for r in g.call_pairs(lambda name: hashed(name, 42)).collect()}
+    by_name = g.of_kind("CALLS").select(hashed("source_qualified", 42), hashed("target_qualified", 42))
+    assert pairs - {(None, None)} and {(a, b) for a, b in pairs if a is not None and b is not None} == {tuple(r) for r in by_name.collect()}
