@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.plans import queries
 from symloom.plans.projection import project
@@ -83,3 +84,92 @@ def test_flow_summary_takes_calls_from_keys(spark):
     pairs = {tuple(r) for r in g.call_pairs(lambda name: hashed(name, 42)).collect()}
     by_name = g.of_kind("CALLS").select(hashed("source_qualified", 42), hashed("target_qualified", 42))
     assert pairs - {(None, None)} and {(a, b) for a, b in pairs if a is not None and b is not None} == {tuple(r) for r in by_name.collect()}
+
+
+def _by_name(g):
+    """Calls between hashes of names, with their confidence."""
+    from symloom.operators.parts import hashed
+
+    return {tuple(r) for r in g.of_kind("CALLS").select(hashed("source_qualified", 42), hashed("target_qualified", 42), "confidence").collect()}
+
+
+def _by_number(calls):
+    from symloom.operators.numbered import edges_of
+
+    return {(int(calls.ids[x]), int(calls.ids[y]), float(calls.confidence[k])) for a, b, code in edges_of(calls.values.toArrow().to_batches()) for x, y, k in zip(a, b, code)}
+
+
+def _hash(name):
+    from symloom.operators.parts import hashed
+
+    return hashed(name, 42)
+
+
+def test_flow_summary_walks_calls_of_a_few_bytes(spark, monkeypatch):
+    from symloom.plans.projection import Projection
+
+    g = project(spark, "/root/testdata/sf0.001")
+    calls = g.numbered_calls(_hash)
+    assert _by_number(calls) == _by_name(g)
+    assert sum(len(z.as_py()) for z in calls.values.toArrow()["z"]) < 6 * g.of_kind("CALLS").count()
+    monkeypatch.setattr(Projection, "_read", lambda *a: pytest.fail("edges by name"))
+    assert queries.QUERIES["flow_summary"](spark, "/root/testdata/sf0.001").first().total_flows > 0
+
+
+def _odd_tables(spark, folder, customers):
+    made = {
+        "region": ([(0, "A")], "r_regionkey int, r_name string"),
+        "nation": ([(0, 0, "N"), (1, 0, "M")], "n_nationkey int, n_regionkey int, n_name string"),
+        "customer": (customers, "c_custkey long, c_nationkey int"),
+        "supplier": ([(-4, 0), (9, 1)], "s_suppkey long, s_nationkey int"),
+        "part": ([(p, "T", "Brand#11") for p in (-30, 1, 2, 3, 500)], "p_partkey long, p_type string, p_brand string"),
+        "orders": ([(1, -5), (2, 7), (3, 99), (4, None)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(o, p, s, n, 50.0) for o in (1, 2, 3, 4, 5, None) for n, (p, s) in enumerate([(-30, -4), (1, 9), (1, None), (77, 9), (None, 9), (2, 8), (3, -4), (500, 9), (-30, 9)])], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return project(spark, str(folder))
+
+
+def test_numbered_calls_of_odd_keys(spark, tmp_path):
+    g = _odd_tables(spark, tmp_path, [(-5, 0), (7, 1), (8, 5)])
+    calls = g.numbered_calls(_hash)
+    assert _by_number(calls) == _by_name(g) and len(calls.ids) == 9
+
+
+def test_a_key_of_two_names_has_no_number(spark, tmp_path):
+    g = _odd_tables(spark, tmp_path, [(-5, 0), (-5, 1), (7, 1)])
+    assert g.numbered_calls(_hash) is None
+    assert {tuple(r) for r in g.call_pairs(_hash).filter("a IS NOT NULL AND b IS NOT NULL").collect()} == {e[:2] for e in _by_name(g)}
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5])
+def test_blast_flow_scores_reads_no_calls_by_name(spark, monkeypatch, least):
+    from symloom.operators import reach
+    from symloom.plans.projection import Projection
+
+    folder = "/root/testdata/sf0.001"
+    g = project(spark, folder)
+    some = g.nodes.filter("pmod(hash(qualified_name), 97) = 3 AND kind <> 'Interface'").select("qualified_name")
+    for seeds in (queries.seeds(g), some):
+        seeds = seeds.distinct()
+        by_name = reach._blast_of_names(reach.impact_edges(g, least), seeds, 3).select("node", "acc", "kind", "origin", "depth")
+        got = reach._blast_of_numbers(g, seeds, 3, least)
+        assert by_name.schema.simpleString() == got.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_name.collect()))
+    assert reach._blast_of_numbers(g, g.nodes.select(F.col("file_path").alias("qualified_name")).limit(1), 3, least) is None
+    read = Projection._read
+    monkeypatch.setattr(Projection, "_read", lambda self, kinds: pytest.fail("calls by name") if "CALLS" in set(kinds) else read(self, kinds))
+    assert queries.QUERIES["blast_flow_scores"](spark, folder).count() > 0
+
+
+def test_blast_flow_scores_depth2_of_large_parts(spark, monkeypatch):
+    """One task a part, or parts dealt out to groups of entries: the same scores and flows."""
+    from symloom.operators import parts, walks
+
+    folder = "/root/testdata/sf0.001"
+    names = ("blast_flow_scores_depth2", "flows", "affected_flows")
+    once = [sorted(map(tuple, queries.QUERIES[n](spark, folder).collect())) for n in names]
+    monkeypatch.setattr(parts, "LARGE", 10)
+    monkeypatch.setattr(walks, "BLOCK_EDGES", 997)
+    assert once == [sorted(map(tuple, queries.QUERIES[n](spark, folder).collect())) for n in names]
