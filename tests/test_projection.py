@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,18 @@ def test_blast_flow_scores_depth2_of_large_parts(spark, monkeypatch):
     monkeypatch.setattr(parts, "LARGE", 10)
     monkeypatch.setattr(walks, "BLOCK_EDGES", 997)
     assert once == [sorted(map(tuple, queries.QUERIES[n](spark, folder).collect())) for n in names]
+
+
+def test_flow_summary_finds_next_parts_without_a_join_or_window(spark, tmp_path, monkeypatch):
+    """Packed exchanges give the rows of FOLLOWS: repeated orders, nulls in each column, ends of the range of keys."""
+    from symloom.plans.projection import FOLLOWS, Projection
+
+    g = _odd_tables(spark, tmp_path / "a", [(-5, 0)])
+    far = 2**63 - 1
+    r = random.Random(5)
+    lines = [(r.choice([1, 2, 3, -far, far, None]), r.choice([1, 2, None]), r.choice([4, -far, far, 0, None]), r.choice([0, 6, None])) for _ in range(300)]
+    spark.createDataFrame([(o, r.choice([7, 0, -far, None])) for o in (1, 1, 2, 3, 3, -far, far, None, 9)], "o_orderkey long, o_custkey long").createOrReplaceTempView(g._views["orders"])
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").selectExpr("*", "50.0D AS l_quantity").createOrReplaceTempView(g._views["lineitem"])
+    by_sql = sorted(map(str, g._sql(FOLLOWS).collect()))
+    monkeypatch.setattr(Projection, "_sql", lambda *a: pytest.fail("line items by a join and a window"))
+    assert len(by_sql) > 300 and sorted(map(str, g._follows().collect())) == by_sql
